@@ -88,8 +88,12 @@ def append_misses(contents: DataFrame, cache_path: str, tokenizer_path: str) ->
     """Encodes the distinct contents (content_digest, content) that the cache lacks and appends their counts."""
     spark, version = contents.sparkSession, tokenizer_digest(tokenizer_path)
     known = cached(spark, cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest")
+    if not known.isEmpty():
+        # Only digests move to find the misses; texts move for the misses alone.
+        missing = contents.select("content_digest").distinct().join(known, "content_digest", "left_anti")
+        contents = contents.join(common.cut(missing, "token-misses"), "content_digest", "left_semi")
     # Copies fold together before the shuffle, so a content that fills a third of the table is one row a task.
-    misses = contents.join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.first("content").alias("content"))
+    misses = contents.groupBy("content_digest").agg(F.first("content").alias("content"))
     counts = misses.mapInArrow(_encode(tokenizer_path), "content_digest binary, n_tokens long")
     counts.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
 
