@@ -6,9 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import common, token_counts
+from lodestrata.llm import ann, common, jaccard_join, token_counts, url_filter, warc
 
 OVER_LIMIT_TOKENS = 512
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +25,48 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT_TOKENS).alias("over_limit"))
 
 
+def op7_score_aware_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = common.fresh_path(spark, "warc")
+    warc.write_archives(warc.label_copies(common.table(spark, sf_dir, "pages").select("page_id", "url", "html")), root)
+    return warc.read_archives(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs, k=4, percent=85)
+
+
+def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op7_score_aware_ann": op7_score_aware_ann,
+    "op8_warc_dictionary": op8_warc_dictionary,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_url_cascade": op10_url_cascade,
 }
 
-ORACLES: dict[str, str] = {}
+OP10_SQL = r"""
+WITH rules(action, rule_host, rule_path) AS (VALUES
+    ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+parts AS (
+    SELECT page_id,
+        coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+    FROM pages),
+fits AS (
+    SELECT page_id, rule_host || rule_path AS rule, action,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+    FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.place = 1
+"""
+
+ORACLES: dict[str, str] = {"op10_url_cascade": OP10_SQL}
