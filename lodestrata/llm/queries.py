@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import ann, common, jaccard_join, token_counts, url_filter, warc
+from lodestrata.llm import ann, common, decontaminate, jaccard_join, language_id, line_templates, mixing, token_counts, toxicity, url_filter, warc
 
 OVER_LIMIT_TOKENS = 512
+TOXIC_AT = 0.3
+MIX_TARGETS = {"good": 0.92, "poor": 0.06, "toxic": 0.02}
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
     url_filter.Rule("block", "example.org", "/es/"),
@@ -25,6 +27,44 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT_TOKENS).alias("over_limit"))
 
 
+def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = common.crc32_mod(F.col("doc_id"), 4) == 2
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out & F.col("toxic").isNotNull())
+    # The class prior, as published labels state it; single negatives are never trained on.
+    prior = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    model = toxicity.fit(docs.filter(~held_out), labels.filter("toxic = 1"), prior)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+def op3_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = common.crc32_mod(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.filter(~held_out))
+    predicted = language_id.predict(docs.drop("lang"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of the mixing operator: what the quality and toxicity labels together name."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return common.table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, domain_labels(spark, sf_dir), MIX_TARGETS).drop("copy")
+
+
 def op7_score_aware_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
@@ -47,6 +87,11 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_pu_toxicity": op2_pu_toxicity,
+    "op3_bigru_language": op3_bigru_language,
+    "op4_minhash_containment": op4_minhash_containment,
+    "op5_line_templates": op5_line_templates,
+    "op6_soft_mixing": op6_soft_mixing,
     "op7_score_aware_ann": op7_score_aware_ann,
     "op8_warc_dictionary": op8_warc_dictionary,
     "op9_jaccard_join": op9_jaccard_join,
@@ -69,4 +114,48 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.place = 1
 """
 
-ORACLES: dict[str, str] = {"op10_url_cascade": OP10_SQL}
+OP4_SQL = r"""
+WITH words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-`{-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+asked AS (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-`{-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+d AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM words),
+q AS (
+    SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM asked),
+sizes AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
+pairs AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN q USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, shared::DOUBLE / n_item AS containment, shared, n_item
+FROM pairs JOIN sizes USING (item_id) WHERE 100 * shared >= 80 * n_item
+"""
+
+OP5_SQL = r"""
+WITH lines AS (SELECT doc_id, text AS copy, unnest(string_split(text, chr(10))) AS raw FROM documents),
+masked AS (SELECT doc_id, copy, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM lines WHERE raw <> ''),
+keyed AS (SELECT *, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1:3], ' ') AS lead FROM masked),
+copies AS (SELECT m, n, lead, copy, min(doc_id) AS first_doc FROM keyed GROUP BY ALL),
+support AS (SELECT m, n, lead, count(*) AS support, min(first_doc) AS first_doc FROM copies GROUP BY ALL),
+leaves AS (SELECT n, lead FROM support GROUP BY ALL HAVING sum(support) >= 5),
+hot AS (SELECT s.* FROM support s JOIN leaves USING (n, lead)),
+tokens AS (SELECT m, n, lead, support, first_doc, unnest(string_split(m, ' ')) AS token, unnest(range(n)) AS place FROM hot),
+fields AS (SELECT n, lead, place, token, true AS constant FROM tokens GROUP BY n, lead, place, token HAVING sum(support) >= 5),
+flags AS (SELECT t.*, (f.constant IS NOT NULL OR t.place < 3) AS fixed FROM tokens t LEFT JOIN fields f USING (n, lead, place, token)),
+shapes AS (
+    SELECT m, n, lead, support, first_doc, list(CASE WHEN fixed THEN token ELSE '<*>' END ORDER BY place) AS template
+    FROM flags GROUP BY m, n, lead, support, first_doc
+    HAVING count(*) FILTER (fixed) * 100 >= n * 80 AND bool_or(fixed AND token NOT IN ('<*>', ''))),
+recurring AS (SELECT n, lead, template, min(first_doc) AS keeper FROM shapes GROUP BY ALL HAVING sum(support) >= 5),
+drops AS (SELECT m, keeper FROM shapes JOIN recurring USING (n, lead, template)),
+lists AS (SELECT k.doc_id, list(DISTINCT k.m) AS ms FROM keyed k JOIN drops d ON k.m = d.m WHERE k.doc_id <> d.keeper GROUP BY k.doc_id),
+kept AS (
+    SELECT d.doc_id, d.text AS whole, ms, string_split(d.text, chr(10)) AS all_lines,
+        list_filter(string_split(d.text, chr(10)), lambda x: x = '' OR NOT list_contains(ms, regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g'))) AS kept_lines
+    FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id)
+SELECT doc_id, CASE WHEN ms IS NULL THEN whole ELSE array_to_string(kept_lines, chr(10)) END AS text,
+    coalesce(len(all_lines), 0)::BIGINT AS n_lines, CASE WHEN ms IS NULL THEN 0 ELSE len(all_lines) - len(kept_lines) END::BIGINT AS n_dropped
+FROM kept
+"""
+
+ORACLES: dict[str, str] = {"op4_minhash_containment": OP4_SQL, "op5_line_templates": OP5_SQL, "op10_url_cascade": OP10_SQL}

@@ -64,8 +64,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def _hash_words(raw: np.ndarray, bounds: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of raw, and their number for each row."""
+def _hash_words(raw: np.ndarray, bounds: np.ndarray, words: Words, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of raw and their number for each row; then hashes of the words' first bytes for each length in prefixes."""
     n = len(raw)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
@@ -82,7 +82,17 @@ def _hash_words(raw: np.ndarray, bounds: np.ndarray, words: Words) -> tuple[np.n
     hashes = (sums[ends] - sums[starts]) * inverse[starts]
     hashes += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     counts = np.searchsorted(starts, bounds[1:]) - np.searchsorted(starts, bounds[:-1])
-    return mix(hashes), counts
+    heads = []
+    for k in prefixes:
+        stops = np.minimum(starts + k, ends)
+        heads.append(mix((sums[stops] - sums[starts]) * inverse[starts] + np.uint64(k << 32)))
+    return mix(hashes), counts, *heads
+
+
+def word_prefix_hashes(raw: np.ndarray, bounds: np.ndarray, words: Words, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Like word_hashes, and the hashes of the words' first bytes for each length in prefixes."""
+    hashes, counts, *heads = _hash_words(raw, bounds, words, prefixes)
+    return hashes, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), heads
 
 
 def word_hashes(raw: np.ndarray, bounds: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +100,7 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray, words: Words) -> tuple[np.n
     found, counts, i, n = [], [], 0, len(bounds) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK_BYTES, "right")) - 1)
-        h, c = _hash_words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
+        h, c, *_ = _hash_words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
         found.append(h)
         counts.append(c)
         i = j
