@@ -139,7 +139,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def train(texts: list[bytes], labels: list[str], steps: int = 300, columns: int = 192, length: int = 48, rate: float = 0.01, seed: int = 3) -> Network | None:
+def train(texts: list[bytes], labels: list[str], steps: int = 450, columns: int = 192, length: int = 48, rate: float = 0.01, seed: int = 3) -> Network | None:
     """A network from labelled texts (UTF-8); None without any. Each language is drawn equally often."""
     names = sorted(set(labels))
     if not names:
@@ -155,7 +155,8 @@ def train(texts: list[bytes], labels: list[str], steps: int = 300, columns: int
         for i, c in enumerate(y):
             text = by[c][rng.integers(len(by[c]))]
             s = int(rng.integers(max(1, len(text) - length + 1)))
-            part = np.frombuffer(text[s : s + length], np.uint8)
+            # A fifth are short, and so mostly blank, as short texts are.
+            part = np.frombuffer(text[s : s + (length if rng.random() < 0.8 else int(rng.integers(3, length)))], np.uint8)
             x[i, : len(part)] = part
         _, grads = net.gradients(np.ascontiguousarray(x.T), y)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
