@@ -95,7 +95,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80,
     """
     drops = recurring_lines(docs, min_docs, percent, doc_id, text)
     lists = common.cut(drops.groupBy("doc_id").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("doc_id", "__id"), "line-lists")
-    joined = docs.join(lists, F.col(f"`{doc_id}`") == F.col("__id"), "left")
+    # The lists grow with the corpus: they are merged at every size, rather than broadcast while they happen to be small.
+    joined = docs.join(lists.hint("merge"), F.col(f"`{doc_id}`") == F.col("__id"), "left")
     lines = _lines(F.col(f"`{text}`"))
     left = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("__lines"), F.xxhash64(masked(x))))
     some = F.col("__lines").isNotNull()
