@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group that Jaccard links connect, that with the smallest id."""
     grouped = common.cut(jaccard_join.jaccard_components(docs, k=5, percent=80), "pipeline-groups")
     gone = common.cut(grouped.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")), "pipeline-gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     if grouped.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     # Rows that repeat an id are one document.
