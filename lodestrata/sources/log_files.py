@@ -51,8 +51,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [LogFile(p) for p in _files(self.uri)]
 
-    def read(self, partition: LogFile) -> Iterator[tuple]:
-        return _rows(self.uri, partition.path)
+    def read(self, partition: LogFile | None) -> Iterator[tuple]:
+        # Spark reads a source without partitions by none.
+        return _rows(self.uri, partition.path) if partition is not None else iter(())
 
 
 class _StreamReader(DataSourceStreamReader):

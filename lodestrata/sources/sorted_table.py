@@ -187,7 +187,9 @@ class _Reader(DataSourceReader):
                 out.append(Run(info.path, part))
         return out
 
-    def read(self, partition: Run) -> Iterator[tuple[bytes, bytes]]:
+    def read(self, partition: Run | None) -> Iterator[tuple[bytes, bytes]]:
+        if partition is None:  # how Spark reads a source without partitions
+            return
         files, _ = fs.FileSystem.from_uri(self.path)
         with files.open_input_file(partition.path) as f:
             for at, n in partition.handles:

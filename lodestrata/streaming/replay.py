@@ -1,8 +1,8 @@
 """Beyond the base: replaying a stream of log records.
 
 State is kept by transaction: its changes wait until COMMIT lets them out or ABORT drops them. What comes out are
-committed changes in upsert form; ``fold`` keeps the newest of each key. A transaction that stays
-silent for ``ttl_ms`` is given up, which bounds the state.
+committed changes in upsert form; ``fold`` keeps the newest of each key. With ``ttl_ms``, a transaction that
+stays silent so long is given up, which bounds the state; Spark then runs a batch at every trigger, even without data.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ CHANGES = "txn_id long, commit_seq long, seq long, type int, key binary, value b
 _WAITING = "seqs array<long>, types array<int>, keys array<binary>, vals array<binary>, ended boolean"
 
 
-def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int) -> Iterator[pd.DataFrame]:
+def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -43,20 +43,22 @@ def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
         elif r.type == ABORT:
             seqs, types, keys, vals, ended = [], [], [], [], True
     state.update((seqs, types, keys, vals, ended))
-    state.setTimeoutDuration(ttl_ms)
+    if ttl_ms is not None:
+        state.setTimeoutDuration(ttl_ms)
 
 
-def committed_stream(log: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def committed_stream(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Changes (txn_id, commit_seq, seq, type, key, value) of a streaming log, as their transactions commit.
 
-    log: (seq, txn_id, type, key, value). Records of a transaction that arrive after its end are ignored.
+    log: (seq, txn_id, type, key, value), in the order it was written, as a log's files are. Records of a transaction that arrive after its end are ignored.
     """
 
     def step(key, batches, state):  # noqa: ANN001, ANN202
         return _step(key, batches, state, ttl_ms)
 
     rows = log.select("seq", "txn_id", "type", "key", "value")
-    return rows.groupBy("txn_id").applyInPandasWithState(step, CHANGES, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("txn_id").applyInPandasWithState(step, CHANGES, _WAITING, "append", timeout)
 
 
 def fold(changes: DataFrame) -> DataFrame:
