@@ -2,7 +2,7 @@
 
 Documents have no known domain; a table of labels names that of some. A multinomial naive Bayes classifier over
 hashed words, learnt from the labelled documents, gives each document a posterior over the domains,
-tempered by the root of its length so that memberships stay soft. The rates r >= 0 minimise
+its log-likelihoods divided by TEMPER so that memberships stay soft. The rates r >= 0 minimise
 
     |sum_i n_i r_i p_i - w * total|^2
 
@@ -26,7 +26,9 @@ from lodestrata.llm import common
 
 #: The bound of the labelled sample, in rows, and of the classifier's table.
 MAX_LABELLED = 20_000
-BUCKETS = 1 << 14
+BUCKETS = 1 << 17
+#: Words of a text depend on each other; their joint evidence counts as that of so many times fewer.
+TEMPER = 4.0
 MAX_STEPS = 30
 TOLERANCE = 1e-7
 
@@ -93,7 +95,7 @@ def posteriors(docs: DataFrame, model: DomainModel, doc_id: str = "doc_id", text
     )
     n = (F.col("words") / F.col("rows")).cast("long")
     # Rounded: the order in which a sum was added up must not decide anything downstream.
-    score = [F.lit(model.prior[i]) + F.round(F.coalesce(F.col(f"s{i}") / F.sqrt(F.col("words") * F.col("rows")), F.lit(0.0)), 9) for i in k]
+    score = [F.lit(model.prior[i]) + F.round(F.coalesce(F.col(f"s{i}") / F.col("rows") / TEMPER, F.lit(0.0)), 9) for i in k]
     most = F.greatest(*score) if len(score) > 1 else score[0]
     scored = sums.select("doc_id", "copy", n.alias("n_tokens"), most.alias("top"), *[x.alias(f"e{i}") for i, x in enumerate(score)])
     powers = [F.exp(F.col(f"e{i}") - F.col("top")) for i in k]
