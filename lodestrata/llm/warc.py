@@ -69,10 +69,12 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 def train(samples: list[bytes], dict_bytes: int) -> bytes | None:
     """A dictionary, or None where the samples are too few or too alike to train one."""
-    if len(samples) < 8:
+    # A dictionary larger than a fraction of its sample can't be trained.
+    size = min(dict_bytes, sum(map(len, samples)) // 10)
+    if len(samples) < 8 or size < 1024:
         return None
     try:
-        return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return None
 
