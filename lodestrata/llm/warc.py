@@ -89,7 +89,7 @@ class _Archive:
         self.out = self.compressor = None
 
     def _open(self) -> None:
-        self.out = self.files.open_output_stream(self.path)
+        self.out = self.files.open_output_stream(self.path, compression=None)
         data = train([r[:SAMPLE_RECORD_BYTES] for r in self.waiting], self.dict_bytes)
         if data is not None:
             self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
@@ -244,7 +244,7 @@ def _reader(root: str, payloads: bool):
         for b in batches:
             for archive in b.column("archive").to_pylist():
                 rows, held = [], 0
-                with files.open_input_stream(archive) as stream:
+                with files.open_input_stream(archive, compression=None) as stream:
                     for headers, block in read_records(stream):
                         row = _parse(headers, block)
                         rows.append(row if payloads else (*row[:-1], None))
