@@ -32,7 +32,7 @@ def _files(uri: str) -> list[str]:
 
 def _rows(uri: str, path: str) -> Iterator[tuple]:
     files, _ = fs.FileSystem.from_uri(uri)
-    with files.open_input_stream(path) as f:
+    with files.open_input_stream(path, compression=None) as f:
         data = f.read()
     at = 0
     while at < len(data):
@@ -90,7 +90,7 @@ class _Writer(DataSourceWriter):
         path, out = f"{base}/_{self.prefix}-{uuid.uuid4().hex}.pending", None
         for r in rows:
             if out is None:
-                out = files.open_output_stream(path)
+                out = files.open_output_stream(path, compression=None)
             out.write(Record(r["txn_id"], r["type"], bytes(r["key"] or b""), bytes(r["value"] or b"")).frame())
         if out is None:
             return Written(None)

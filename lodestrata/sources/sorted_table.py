@@ -225,7 +225,7 @@ class _Writer(DataSourceWriter):
         path, builder, out = f"{base}/_{uuid.uuid4().hex}.pending", None, None
         for row in rows:
             if builder is None:
-                out = files.open_output_stream(path)
+                out = files.open_output_stream(path, compression=None)
                 builder = TableBuilder(out.write, self.block_bytes, self.interval, self.rate)
             builder.add(bytes(row["key"]), bytes(row["value"]))
         if builder is None:
