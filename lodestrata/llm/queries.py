@@ -158,4 +158,32 @@ SELECT doc_id, CASE WHEN ms IS NULL THEN whole ELSE array_to_string(kept_lines,
 FROM kept
 """
 
-ORACLES: dict[str, str] = {"op4_minhash_containment": OP4_SQL, "op5_line_templates": OP5_SQL, "op10_url_cascade": OP10_SQL}
+_NIBBLES = " ".join(f"WHEN '{n:x}' THEN '{n:04b}'" for n in range(16))
+
+OP8_SQL = rf"""
+WITH h AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, payload, max(page_id) OVER (PARTITION BY payload) AS winner,
+    array_to_string(list_transform(range(1, 41), lambda i: CASE hex[i] {_NIBBLES} END), '') AS bits FROM h)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: CASE bits[5 * i + j] WHEN '1' THEN 1 << (5 - j) ELSE 0 END))::INTEGER, 1)), '') AS payload_digest,
+    CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM b
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
+items AS (SELECT doc_id, n, unnest(s) AS x FROM sized),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 85 * (na + nb - k)),
+edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach(u, v) AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
+least_id AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT doc_id, n::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sized LEFT JOIN least_id ON u = doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_minhash_containment": OP4_SQL, "op5_line_templates": OP5_SQL, "op8_warc_dictionary": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_url_cascade": OP10_SQL}
