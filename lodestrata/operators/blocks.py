@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.codec import HANDLE_BYTES, MAX_U32, CorruptData, Handle, fixed32, read_fixed, read_handle, read_varint32, varint32
 from lodestrata.functions.keys import shared_prefix_bytes
-from lodestrata.operators.ranks import range_of, with_rank
+from lodestrata.operators.ranks import cut_points, range_of, with_rank
 
 RESTART_INTERVAL = 16
 ENTRY_BYTES = 12
@@ -214,9 +214,25 @@ def size_estimates(layout: DataFrame, restart_interval: int = RESTART_INTERVAL)
 
 
 def order_violations(rows: DataFrame, seq: str = "seq", key: str = "key", group: str | None = None) -> DataFrame:
-    """Rows whose key does not exceed the one before them, in the order of seq (within a group, if one is named)."""
-    order = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(seq)
-    return rows.withColumn("previous", F.lag(key).over(order)).filter(F.col(key) <= F.col("previous"))
+    """Rows whose key does not exceed the one before them, in the order of a unique seq (within a group, if one is named).
+
+    Without a group, rows are dealt by ranges of seq; the first of a range is held against the last of
+    the range before, so that no task sees all rows.
+    """
+    if group:
+        before = F.lag(key).over(Window.partitionBy(group).orderBy(seq))
+        return rows.withColumn("previous", before).filter(F.col(key) <= F.col("previous"))
+    points = cut_points(rows, seq, rows.count())
+    dealt = rows.withColumn("__range", range_of(F.col(seq), points))
+    lasts = {r["__range"]: r["last"] for r in dealt.groupBy("__range").agg(F.max_by(key, seq).alias("last")).collect()}
+    kind, carried, now = rows.schema[key].dataType, [], None
+    for i in range(len(points) + 1):
+        carried.append(F.lit(now).cast(kind))
+        now = lasts.get(i, now)
+    before = F.lag(key).over(Window.partitionBy("__range").orderBy(seq))
+    first = F.row_number().over(Window.partitionBy("__range").orderBy(seq)) == 1
+    previous = F.when(first, F.get(F.array(*carried), F.col("__range"))).otherwise(before)
+    return dealt.withColumn("previous", previous).drop("__range").filter(F.col(key) <= F.col("previous"))
 
 
 def encode_blocks(numbered: DataFrame, restart_interval: int = RESTART_INTERVAL) -> DataFrame:

@@ -10,7 +10,7 @@ SAMPLE = 10_000
 ROWS_A_BUCKET = 250_000
 
 
-def _cut_points(df: DataFrame, key: str, n_rows: int) -> list:
+def cut_points(df: DataFrame, key: str, n_rows: int) -> list:
     n = min(1000, n_rows // ROWS_A_BUCKET)
     if n < 1:
         return []
@@ -35,7 +35,7 @@ def with_rank(df: DataFrame, key: str, rank: str = "rn") -> DataFrame:
     shifted by the rows of the ranges before: two passes, no window over the whole table.
     """
     n_rows = df.count()
-    points = _cut_points(df, key, n_rows)
+    points = cut_points(df, key, n_rows)
     dealt = df.withColumn("__range", range_of(F.col(key), points))
     counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
     start, total = {}, 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +13,7 @@ from lodestrata.operators import blocks, bloom, wal
 from lodestrata.operators.kv import OrderedMap
 from lodestrata.plans import lsm
 from lodestrata.sources.log_files import LogSource
+from lodestrata.sources.shared import fresh_path
 from lodestrata.sources.sorted_table import SortedTableSource, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +41,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder that the driver and the executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestrata"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _text(df: DataFrame) -> DataFrame:
     """Binary columns as the text they hold."""
     return df.select(*[F.col(c).cast("string").alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes])
@@ -200,6 +193,15 @@ def block_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(blocks.order_violations(rows, group="grp"))
 
 
+@query("""
+WITH s AS (SELECT o_orderkey AS seq, lpad((o_orderkey + o_custkey)::VARCHAR, 12, '0') AS key FROM orders),
+l AS (SELECT *, lag(key) OVER (ORDER BY seq) AS previous FROM s)
+SELECT seq, key, previous FROM l WHERE key <= previous""")
+def table_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), padded(F.col("o_orderkey") + F.col("o_custkey")).cast("binary").alias("key"))
+    return _text(blocks.order_violations(rows))
+
+
 @query(f"WITH {_layout_sql(PAGES_SQL)} SELECT block_no::BIGINT AS block_no, n_entries::BIGINT AS n_entries, size::BIGINT AS size FROM sizes")
 def block_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.size_estimates(blocks.prefix_layout(pages_numbered(spark, sf_dir)))
@@ -254,7 +256,7 @@ def sst_block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sst_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes sorted-table files, then reads a key range of them, with block pruning where pushdown is on."""
     spark.dataSource.register(SortedTableSource)
-    path = _scratch(spark, "sst")
+    path = fresh_path(spark, "sst")
     rows = orders_map(spark, sf_dir).rows
     rows.repartitionByRange(4, "key").sortWithinPartitions("key").write.format("sorted_table").mode("append").option("block_bytes", 4096).save(path)
     low, high = (F.lit(k.encode()) for k in RANGE_KEYS)
@@ -318,7 +320,7 @@ def wal_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wal_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends the log to frame files, then scans them."""
     spark.dataSource.register(LogSource)
-    path = _scratch(spark, "wal")
+    path = fresh_path(spark, "wal")
     events_log(spark, sf_dir).select("txn_id", "type", "key", "value").write.format("wal_frames").mode("append").save(path)
     read = spark.read.format("wal_frames").load(path)
     n_bytes = F.sum(F.octet_length("key").cast("long") + F.octet_length("value").cast("long"))

@@ -110,3 +110,14 @@ def test_routes_agree(spark, bins):
     empty = index.limit(0)
     assert {r["block_no"] for r in blocks.route(probes, empty).collect()} == {None}
     assert {r["block_no"] for r in blocks.route_by_range(probes, empty).collect()} == {None}
+
+
+def test_order_violations_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 30)
+    rng = random.Random(8)
+    rows = [(i, b"%03d" % rng.randrange(1000)) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq long, key binary").repartition(4)
+    want = [(b[0], b[1], a[1]) for a, b in zip(rows, rows[1:], strict=False) if b[1] <= a[1]]
+    got = blocks.order_violations(df).orderBy("seq").collect()
+    assert [(r["seq"], bytes(r["key"]), bytes(r["previous"])) for r in got] == want
+    assert blocks.order_violations(df.limit(0)).count() == 0
