@@ -1,38 +1,17 @@
-"""What the operators of this subpackage share: reading tables, the shared scratch folder, cutting lineage."""
+"""What the operators of this subpackage share: reading tables, cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.sources.shared import fresh_path, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+__all__ = ["crc32_mod", "cut", "fresh_path", "purge", "shared_dir", "table"]
 
-    It is the one named in ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a
-    temporary folder is made and remembered in the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = spark.conf.get("spark.lodestrata.shared", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-            spark.conf.set("spark.lodestrata.shared", path)
-    return path.rstrip("/")
 
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/lodestrata/{label}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -47,17 +26,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared scratch area."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+def purge(spark: SparkSession) -> None:
+    """Removes what these operators left in the shared folder. Results that are still to be read must be written elsewhere first."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestrata")
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def crc32_mod(column, n: int):
     """crc32 of a value as text, modulo n: the deterministic split into learnt and held-out rows."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % n
-
-
-def scoped(df: DataFrame, **names) -> DataFrame:
-    """The given columns of df under private names, so that extra columns can't clash: new=old."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
