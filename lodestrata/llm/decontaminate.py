@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm import common, shingles
+from lodestrata.llm import shingles
 
 #: The chance at most that a contained item shares no MinHash with its window.
 MISS = 1e-6
@@ -167,41 +167,46 @@ def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _hits(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int]]:
+    """(row, item, shared, n_item) of every text of the column that contains an item."""
+    k = index.k
+    raw, bounds = _lowered(column)
+    hits: list[tuple[int, int, int, int]] = []
+    for i, j in _slices(bounds):
+        hashes, at = shingles.word_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingles.BY_PUNCTUATION)
+        stream = shingles.shingle_hashes(hashes, k)
+        pairs: set[tuple[int, int]] = set()
+        for s, e, item in index.candidates(stream):
+            first = int(np.searchsorted(at, s, "right")) - 1
+            pairs.update((row, item) for row in range(first, int(np.searchsorted(at, min(e, at[-1]), "left"))))
+        if index.short:
+            for row in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < k)).tolist():
+                w = _words(raw[bounds[i + row] : bounds[i + row + 1]].tobytes())
+                hits += [(i + row, item, 1, 1) for item in index.short.get(tuple(w), [])]
+        last = -1
+        words: list[bytes] = []
+        for row, item in sorted(pairs):
+            s, e = at[row], at[row + 1] - k + 1
+            wanted = index.shingles[item]
+            if e <= s:
+                continue
+            place = np.searchsorted(wanted, stream[s:e])
+            same = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == stream[s:e])
+            if 100 * len(same) < index.percent * len(wanted):
+                continue
+            if row != last:
+                words, last = _words(raw[bounds[i + row] : bounds[i + row + 1]].tobytes()), row
+            n = len({t for x in same.tolist() if (t := tuple(words[x : x + k])) in index.words[item]})
+            if 100 * n >= index.percent * len(index.words[item]):
+                hits.append((i + row, item, n, len(index.words[item])))
+    return hits
+
+
 def _search(shared_index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared_index.value
-        k = index.k
         for b in batches:
-            raw, bounds = _lowered(b.column("text"))
-            hits: list[tuple] = []
-            for i, j in _slices(bounds):
-                hashes, at = shingles.word_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingles.BY_PUNCTUATION)
-                stream = shingles.shingle_hashes(hashes, k)
-                pairs: set[tuple[int, int]] = set()
-                for s, e, item in index.candidates(stream):
-                    first = int(np.searchsorted(at, s, "right")) - 1
-                    pairs.update((row, item) for row in range(first, int(np.searchsorted(at, min(e, at[-1]), "left"))))
-                if index.short:
-                    for row in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < k)).tolist():
-                        w = _words(raw[bounds[i + row] : bounds[i + row + 1]].tobytes())
-                        hits += [(i + row, item, 1, 1) for item in index.short.get(tuple(w), [])]
-                last = -1
-                words: list[bytes] = []
-                for row, item in sorted(pairs):
-                    s, e = at[row], at[row + 1] - k + 1
-                    wanted = index.shingles[item]
-                    if e <= s:
-                        continue
-                    place = np.searchsorted(wanted, stream[s:e])
-                    same = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == stream[s:e])
-                    if 100 * len(same) < index.percent * len(wanted):
-                        continue
-                    if row != last:
-                        words, last = _words(raw[bounds[i + row] : bounds[i + row + 1]].tobytes()), row
-                    n = len({t for x in same.tolist() if (t := tuple(words[x : x + k])) in index.words[item]})
-                    if 100 * n >= index.percent * len(index.words[item]):
-                        hits.append((i + row, item, n, len(index.words[item])))
-            if hits:
+            if hits := _hits(index, b.column("text")):
                 rows, items, shared, sizes = (np.array(x) for x in zip(*hits, strict=True))
                 ids = b.column("doc_id").take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(index.ids)[items]), pa.array(shared / sizes), pa.array(shared), pa.array(sizes)], ["doc_id", "item_id", "containment", "shared", "n_item"])
@@ -209,6 +214,16 @@ def _search(shared_index):
     return run
 
 
+def _without(shared_index, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[row for row, *_ in _hits(shared_index.value, b.column(text).fill_null(""))]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
 def _item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
     ids: list[int] = []
     texts: list[str] = []
@@ -244,8 +259,13 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     return found if found is not None else spark.createDataFrame([], HITS)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows whose id holds an item (see contained_items); rows with a null id stay."""
-    hits = contained_items(docs, items, k, percent, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("__hit")).distinct()
-    hits = common.cut(hits, "contaminated")
-    return docs.join(hits, F.col(f"`{doc_id}`") == F.col("__hit"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose text contains an item, as contained_items() finds them; all columns stay.
+
+    Rows go by their own text, whatever their ids. Each block of items is one more step of the same pass: nothing is shuffled.
+    """
+    wanted = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null")
+    for ids, block in _item_blocks(wanted):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(ids, block, k, percent))
+        docs = docs.mapInArrow(_without(index, text), docs.schema)
+    return docs

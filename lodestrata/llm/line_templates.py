@@ -80,6 +80,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_i
     shape = shape.filter((F.col("n_fixed") * 100 >= F.col("n") * percent) & (F.col("some") == 1)).select("line", "support", "first", F.xxhash64("leaf", F.col("template.word")).alias("template"))
     shape = common.cut(shape, "line-templates")
     recurring = shape.groupBy("template").agg(F.sum("support").alias("all"), F.min("first").alias("keeper")).filter(F.col("all") >= min_docs).select("template", "keeper")
+    # Cut, so that a join on a template that many lines share may be split.
+    recurring = common.cut(recurring, "line-recurring")
     lines = common.cut(shape.select("line", "template").join(recurring, "template").select("line", "keeper"), "line-drops")
     drops = keyed.select("doc_id", "line").join(_few(lines), "line").filter(F.col("doc_id") != F.col("keeper"))
     return drops.select("doc_id", "line").distinct()

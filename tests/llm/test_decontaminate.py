@@ -70,6 +70,8 @@ def test_filter_keeps_the_rest(spark, docs, corpus, empty):
     gone = {i for i, *_ in corpus} - {r["doc_id"] for r in kept.collect()}
     assert gone == {40}
     assert kept.filter("doc_id is null").count() == 1
+    nameless = spark.createDataFrame([(1, "no id here at all")], ITEMS)
+    assert dec.decontaminate(docs, nameless).filter("doc_id is null").count() == 0
     assert dec.decontaminate(empty, items).count() == 0
     assert dec.decontaminate(docs, items.limit(0)).count() == len(corpus)
 
