@@ -76,8 +76,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_classes(texts: DataFrame, k: int, words: shingles.Words) -> np.ndarray:
     """log2 of the documents counted for each counter of the sketch; 2^SKETCH_BITS bytes, whatever the corpus."""
     parts = texts.mapInArrow(_sketch(k, words), "block int, counts binary")
-    n_blocks = (1 << SKETCH_BITS) // BLOCK
-    merged = parts.repartition(n_blocks, "block").mapInArrow(_merge, "block int, classes binary")
+    merged = parts.repartition("block").mapInArrow(_merge, "block int, classes binary")
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     for block, data in merged.collect():
         classes[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(data), np.uint8)
