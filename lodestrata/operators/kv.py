@@ -2,7 +2,7 @@
 
 The order is unsigned bytewise, which is Spark's order of BINARY. A missing key is null or an absent
 row; an empty value is an empty value. Mutations come as batches whose rows are ordered by a unique
-``seq``, since rows of a DataFrame have no order of their own.
+``seq``, since rows of a DataFrame have no order of their own. A hot key's mutations fold before they move.
 """
 
 from __future__ import annotations
@@ -10,12 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "key binary, value binary"
-
+from lodestrata.operators.ranks import cut_points, range_of
 
-def _latest(rows: DataFrame, order: Column) -> DataFrame:
-    """One row a key: the first by order."""
-    return rows.withColumn("__place", F.row_number().over(Window.partitionBy("key").orderBy(order))).filter("__place = 1").drop("__place")
+SCHEMA = "key binary, value binary"
 
 
 class OrderedMap:
@@ -77,12 +74,12 @@ class OrderedMap:
 
     def insert_if_absent(self, batch: DataFrame) -> OrderedMap:
         """Adds the batch (key, value, seq) where the key is new; of equal keys the lowest seq gets in."""
-        fresh = _latest(batch.select("key", "value", "seq"), F.col("seq").asc()).join(self.rows.select("key"), "key", "left_anti")
-        return OrderedMap(self.rows.unionByName(fresh.select("key", "value")))
+        fresh = batch.groupBy("key").agg(F.min_by("value", "seq").alias("value")).join(self.rows.select("key"), "key", "left_anti")
+        return OrderedMap(self.rows.unionByName(fresh))
 
     def upsert(self, batch: DataFrame) -> OrderedMap:
         """Adds or overwrites with the batch (key, value, seq); of equal keys the highest seq wins."""
-        newest = _latest(batch.select("key", "value", "seq"), F.col("seq").desc()).select("key", "value")
+        newest = batch.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
         kept = self.rows.join(newest.select("key"), "key", "left_anti")
         return OrderedMap(kept.unionByName(newest))
 
@@ -93,11 +90,18 @@ class OrderedMap:
     def apply(self, batch: DataFrame) -> DataFrame:
         """What each mutation of the batch (key, seq, op) in turn returns: insert, put and erase, each true or false.
 
-        insert and put are true where the key was absent, erase where it was present.
+        insert and put are true where the key was absent, erase where it was present. Only the operation
+        before counts, so a key's operations are dealt by ranges of seq, and each range learns how the one before
+        it ended: a hot key is spread over as many tasks as the batch has ranges.
         """
+        points = cut_points(batch, "seq", batch.count())
+        rows = batch.select("key", "seq", "op").withColumn("__range", range_of(F.col("seq"), points))
+        stays = F.col("op") != "erase"
+        ends = rows.groupBy("key", "__range").agg(F.max_by(stays, F.col("seq")).alias("__end"))
+        carried = F.lag("__end").over(Window.partitionBy("key").orderBy("__range"))
         had = self.rows.select("key", F.lit(True).alias("__had"))
-        rows = batch.select("key", "seq", "op").join(had, "key", "left")
-        # Present after an operation: erase leaves it absent; insert and put leave it present.
-        before = F.lag(F.col("op") != "erase").over(Window.partitionBy("key").orderBy("seq"))
-        present = F.coalesce(before, F.col("__had"), F.lit(False))
-        return rows.select("key", "seq", "op", F.when(F.col("op") == "erase", present).otherwise(~present).alias("result"))
+        starts = ends.withColumn("__start", carried).join(had, "key", "left").select("key", "__range", F.coalesce("__start", "__had", F.lit(False)).alias("__start"))
+        before = F.lag(stays).over(Window.partitionBy("key", "__range").orderBy("seq"))
+        joined = rows.withColumn("__before", before).join(starts, ["key", "__range"])
+        present = F.coalesce("__before", "__start")
+        return joined.select("key", "seq", "op", F.when(F.col("op") == "erase", present).otherwise(~present).alias("result"))

@@ -391,10 +391,9 @@ def mvcc_snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 def three_levels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Newest first: late events (signup deletes), early events, customers."""
     e = events_batch(spark, sf_dir).withColumn("is_deleted", F.col("value").cast("string").startswith("signup"))
-    newest = Window.partitionBy("key").orderBy(F.desc("seq"))
 
     def level(part: int) -> DataFrame:
-        return e.filter(F.col("seq") % 2 == part).withColumn("p", F.row_number().over(newest)).filter("p = 1").select("key", "value", "is_deleted")
+        return e.filter(F.col("seq") % 2 == part).groupBy("key").agg(F.max_by(F.struct("value", "is_deleted"), "seq").alias("n")).select("key", "n.value", "n.is_deleted")
 
     return [level(1), level(0), customers_map(spark, sf_dir).rows.withColumn("is_deleted", F.lit(False))]
 

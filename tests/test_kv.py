@@ -121,3 +121,16 @@ def test_order_violations_over_several_ranges(spark, monkeypatch):
     got = blocks.order_violations(df).orderBy("seq").collect()
     assert [(r["seq"], bytes(r["key"]), bytes(r["previous"])) for r in got] == want
     assert blocks.order_violations(df.limit(0)).count() == 0
+
+
+def test_results_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 20)
+    rng = random.Random(10)
+    ops = [(rng.choice([b"hot", b"hot", b"a", b"b"]), i, rng.choice(["insert", "put", "erase"])) for i in range(300)]
+    have, want = {b"a"}, []
+    for key, _, op in ops:
+        present = key in have
+        want.append(present if op == "erase" else not present)
+        have = have - {key} if op == "erase" else have | {key}
+    got = made(spark, [(b"a", b"1")]).apply(spark.createDataFrame(ops, "key binary, seq long, op string").repartition(3))
+    assert [r["result"] for r in got.orderBy("seq").collect()] == want
