@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from lodestrata.functions.codec import Record, TornTail, read_frame
+from lodestrata.functions.codec import FRAME_HEADER_BYTES, Record, TornTail, read_fixed, read_frame
 
 SUFFIX = ".wal"
 
@@ -31,17 +31,18 @@ def _files(uri: str) -> list[str]:
 
 
 def _rows(uri: str, path: str) -> Iterator[tuple]:
+    """A file's records, one frame in memory at a time."""
     files, _ = fs.FileSystem.from_uri(uri)
-    with files.open_input_stream(path, compression=None) as f:
-        data = f.read()
-    at = 0
-    while at < len(data):
-        try:
-            record, end = read_frame(data, at)
-        except TornTail:
-            return
-        yield path.rsplit("/", 1)[-1], at, record.txn_id, record.type, record.key, record.value
-        at = end
+    name, at = path.rsplit("/", 1)[-1], 0
+    with files.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
+        while head := f.read(FRAME_HEADER_BYTES):
+            size = read_fixed(head, 0, 4)[0] if len(head) == FRAME_HEADER_BYTES else 0
+            try:
+                record, length = read_frame(head + f.read(size), 0)
+            except TornTail:
+                return
+            yield name, at, record.txn_id, record.type, record.key, record.value
+            at += length
 
 
 class _Reader(DataSourceReader):

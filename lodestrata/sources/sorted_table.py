@@ -28,6 +28,8 @@ SUFFIX = ".sst"
 BLOCK_BYTES = 64 << 10
 #: Bytes of blocks that one partition reads.
 SPLIT_BYTES = 32 << 20
+#: A task starts another file here, which bounds the keys that it holds for the file's filter.
+FILE_BYTES = 256 << 20
 
 
 class TableBuilder:
@@ -43,6 +45,10 @@ class TableBuilder:
         self._at = 0
         self.n = 0
 
+    @property
+    def size(self) -> int:
+        return self._at
+
     def _put(self, data: bytes) -> Handle:
         self._write(data)
         handle = Handle(self._at, len(data))
@@ -208,50 +214,65 @@ class _PruningReader(_Reader):
                 yield f
 
 
+def _shown(pending: str) -> str:
+    """The name under which a pending file is committed."""
+    folder, name = pending.rsplit("/", 1)
+    return f"{folder}/part-{name[1:].removesuffix('.pending')}{SUFFIX}"
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
-    n: int
+    paths: list[str]
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool, block_bytes: int, interval: int, rate: float | None):
-        self.path, self.overwrite, self.block_bytes, self.interval, self.rate = path, overwrite, block_bytes, interval, rate
+    def __init__(self, path: str, overwrite: bool, block_bytes: int, interval: int, rate: float | None, file_bytes: int):
+        self.path, self.overwrite, self.block_bytes, self.interval, self.rate, self.file_bytes = path, overwrite, block_bytes, interval, rate, file_bytes
 
     def write(self, rows: Iterator) -> Written:
         files, base = fs.FileSystem.from_uri(self.path)
         files.create_dir(base, recursive=True)
-        # Invisible to readers until the job commits.
-        path, builder, out = f"{base}/_{uuid.uuid4().hex}.pending", None, None
+        written: list[str] = []
+        builder = out = last = None
         for row in rows:
+            key = bytes(row["key"])
+            if last is not None and key <= last:
+                raise ValueError("keys must strictly increase")
             if builder is None:
-                out = files.open_output_stream(path, compression=None)
+                # Invisible to readers until the job commits.
+                written.append(f"{base}/_{uuid.uuid4().hex}.pending")
+                out = files.open_output_stream(written[-1], compression=None)
                 builder = TableBuilder(out.write, self.block_bytes, self.interval, self.rate)
-            builder.add(bytes(row["key"]), bytes(row["value"]))
-        if builder is None:
-            return Written(None, 0)
-        builder.finish()
-        out.close()
-        return Written(path, builder.n)
+            builder.add(key, bytes(row["value"]))
+            last = key
+            if builder.size >= self.file_bytes:
+                builder.finish()
+                out.close()
+                builder = None
+        if builder is not None:
+            builder.finish()
+            out.close()
+        return Written(written)
+
+    def _each(self, messages: list[Written | None]) -> list[str]:
+        return [p for m in messages if m is not None for p in m.paths]
 
     def commit(self, messages: list[Written | None]) -> None:
         files, base = fs.FileSystem.from_uri(self.path)
         old = [i.path for i in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.path.endswith(SUFFIX)] if self.overwrite else []
-        for m in messages:
-            if m is not None and m.path:
-                files.move(m.path, m.path.replace("/_", "/part-").removesuffix(".pending") + SUFFIX)
+        for p in self._each(messages):
+            files.move(p, _shown(p))
         for p in old:
             files.delete_file(p)
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = fs.FileSystem.from_uri(self.path)
-        for m in messages:
-            if m is not None and m.path:
-                files.delete_file(m.path)
+        for p in self._each(messages):
+            files.delete_file(p)
 
 
 class SortedTableSource(DataSource):
-    """Options: path (a URI that pyarrow's file systems know), block_bytes, restart_interval, filter_rate (0: no filter).
+    """Options: path (a URI that pyarrow's file systems know), block_bytes, restart_interval, file_bytes, filter_rate (0: no filter).
 
     Spark refuses a reader that takes filters while its pushdown is off, so pruning is an option too: see load().
     """
@@ -273,7 +294,7 @@ class SortedTableSource(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         rate = float(self.options.get("filter_rate", 0.01))
-        return _Writer(self._path(), overwrite, int(self.options.get("block_bytes", BLOCK_BYTES)), int(self.options.get("restart_interval", RESTART_INTERVAL)), rate or None)
+        return _Writer(self._path(), overwrite, int(self.options.get("block_bytes", BLOCK_BYTES)), int(self.options.get("restart_interval", RESTART_INTERVAL)), rate or None, int(self.options.get("file_bytes", FILE_BYTES)))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -47,7 +47,9 @@ def test_sorted_table_round_trip_and_pruning(spark, tmp_path):
     spark.dataSource.register(SortedTableSource)
     path = str(tmp_path / "t")
     df = spark.range(5000).select(F.lpad(F.col("id").cast("string"), 6, "0").cast("binary").alias("key"), F.concat(F.lit("v"), F.col("id").cast("string")).cast("binary").alias("value"))
-    df.repartitionByRange(3, "key").sortWithinPartitions("key").write.format("sorted_table").mode("append").option("block_bytes", 1000).save(path)
+    df.repartitionByRange(3, "key").sortWithinPartitions("key").write.format("sorted_table").mode("append").option("block_bytes", 1000).option("file_bytes", 20000).save(path)
+    assert len(list((tmp_path / "t").glob("part-*.sst"))) > 3
+    assert not list((tmp_path / "t").glob("*.pending"))
     plain = spark.read.format("sorted_table").load(path)
     assert plain.count() == 5000
     read = load(spark, path)
