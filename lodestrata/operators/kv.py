@@ -30,6 +30,17 @@ class OrderedMap:
         """The map of a table whose key expression is unique."""
         return cls(df.select(key.cast("binary").alias("key"), value.cast("binary").alias("value")))
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> OrderedMap:
+        return cls(spark.read.schema(SCHEMA).parquet(path))
+
+    def save(self, path: str) -> None:
+        """Writes Parquet in key ranges, sorted: lookups, seeks and ranges then skip files and row groups by their statistics.
+
+        The path must be new: a map is never written over the files it is read from.
+        """
+        self.rows.repartitionByRange("key").sortWithinPartitions("key").write.mode("errorifexists").parquet(path)
+
     # Reading
 
     def size(self) -> DataFrame:

@@ -142,6 +142,14 @@ def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(orders_map(spark, sf_dir).range(*[k.encode() for k in RANGE_KEYS]))
 
 
+@query(f"SELECT key, value FROM ({ORDERS_SQL}) WHERE key >= '{RANGE_KEYS[0]}' AND key < '{RANGE_KEYS[1]}' ORDER BY key")
+def kv_saved_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of a map that was saved by key ranges: bounds reach the Parquet scan."""
+    path = fresh_path(spark, "ordered-map")
+    orders_map(spark, sf_dir).save(path)
+    return _text(OrderedMap.load(spark, path).range(*[k.encode() for k in RANGE_KEYS]))
+
+
 # Sorted-table blocks
 
 

@@ -134,3 +134,15 @@ def test_results_over_several_ranges(spark, monkeypatch):
         have = have - {key} if op == "erase" else have | {key}
     got = made(spark, [(b"a", b"1")]).apply(spark.createDataFrame(ops, "key binary, seq long, op string").repartition(3))
     assert [r["result"] for r in got.orderBy("seq").collect()] == want
+
+
+def test_saved_map_prunes(spark, tmp_path):
+    path = str(tmp_path / "map")
+    made(spark, [(b"%04d" % i, b"v") for i in range(1000)]).save(path)
+    m = OrderedMap.load(spark, path)
+    assert m.get(b"0500") == b"v"
+    assert len(pairs(m.range(b"0990"))) == 10
+    plan = m.range(b"0990", b"0995")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
+    with pytest.raises(Exception, match="exists"):
+        m.save(path)
