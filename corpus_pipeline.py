@@ -24,8 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines whose template recurs; n_chars follows the text."""
-    cleaned = line_templates.drop_recurring_lines(docs)
+    """All documents, less the lines whose template recurs in texts that are not near copies; n_chars follows the text."""
+    classes = common.cut_alone(lambda: jaccard_join.text_classes(docs, k=5, percent=80), "pipeline-classes")
+    cleaned = line_templates.drop_recurring_lines(docs, classes=classes)
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
     columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(*[columns[c].alias(c) for c in docs.columns])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources.shared import fresh_path, shared_dir
 
-__all__ = ["crc32_mod", "cut", "fresh_path", "purge", "shared_dir", "table"]
+__all__ = ["crc32_mod", "cut", "cut_alone", "fresh_path", "purge", "shared_dir", "table", "text_key"]
+
+_written = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +28,36 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    for paths in getattr(_written, "stack", []):
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """cut() of what make returns; what else was cut on the way to it is removed."""
+    _written.stack = [*getattr(_written, "stack", []), []]
+    try:
+        out = cut(make(), label)
+    finally:
+        *_written.stack, paths = _written.stack
+    for path in paths[:-1]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def purge(spark: SparkSession) -> None:
     """Removes what these operators left in the shared folder. Results that are still to be read must be written elsewhere first."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestrata")
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark, f"{shared_dir(spark)}/lodestrata")
+
+
+def text_key(text: str):
+    """The hash that stands for a whole text."""
+    return F.xxhash64(F.col(f"`{text}`"), F.lit(0))
 
 
 def crc32_mod(column, n: int):

@@ -204,6 +204,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def text_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(copy, class) of the texts that links connect with other rows: common.text_key() and a number that a component shares.
+
+    Where ids are null or repeat, the nodes are the different texts themselves.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), common.text_key(text).alias("copy"), F.col(f"`{text}`").alias("text"))
+    plain = distinct_ids(docs, doc_id)
+    nodes = rows if plain else common.cut(rows.filter("text is not null").groupBy("copy").agg(F.first("text").alias("text")).select(F.col("copy").alias("doc_id"), "text"), "class-texts")
+    linked = common.cut(jaccard_components(nodes, k, percent).filter("component_id <> doc_id").select("doc_id", "component_id"), "class-links")
+    members = linked.unionAll(linked.select("component_id", "component_id").distinct())
+    if not plain:
+        return members.select(F.col("doc_id").alias("copy"), F.col("component_id").alias("class"))
+    return rows.select("doc_id", "copy").join(members, "doc_id").groupBy("copy").agg(F.min("component_id").alias("class"))
+
+
+def distinct_ids(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether every row has an id of its own."""
+    return docs.groupBy(F.col(f"`{doc_id}`").alias("id")).count().filter("count > 1 or id is null").isEmpty()
+
+
 def _labels(checked: DataFrame) -> DataFrame:
     return connected_components(checked.filter("linked").select("a", "b"))
 

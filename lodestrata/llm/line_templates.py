@@ -8,7 +8,10 @@ constant token, and whose lines have a support of min_docs together recurs acros
 are dropped from every document but the first that has one.
 
 The support of a line is the number of distinct texts that hold it: copies of a whole document count
-once, so that they are left to near-duplicate removal.
+once, so that they are left to near-duplicate removal. Given the classes of texts that are near copies of each
+other (jaccard_join.text_classes), a class counts once wherever support is counted, over the different lines of a leaf,
+field or template too, and the first class that has a template keeps its lines in all its documents: near copies
+all lose a line or all keep it.
 
 Text moves once, with the lists of lines to drop. All else that is shuffled are hashes, folded
 before they move: a line that a third of all documents hold is one row a task.
@@ -49,56 +52,98 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line) hashes of the lines to drop, each pair once: see drop_recurring_lines."""
-    words = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`"), F.lit(0)).alias("copy"), F.explode(_lines(F.col(f"`{text}`"))).alias("raw"))
+def _enough(rows: DataFrame, key: str, min_docs: int, first: Column | None = None) -> DataFrame:
+    """The keys whose rows have a support of min_docs; with first, also the least first of all their rows.
+
+    Rows with voters (the classes that hold a line; any min_docs values where there are more) count the different ones of a key.
+    """
+    least = [] if first is None else [F.min(first).alias("keeper")]
+    if "voters" not in rows.columns:
+        return rows.groupBy(key).agg(F.sum("support").alias("all"), *least).filter(F.col("all") >= min_docs).drop("all")
+    votes = rows.select(key, F.explode("voters").alias("voter"), *([] if first is None else [first.alias("first")]))
+    votes = votes.groupBy(key, "voter").agg(*([F.lit(1)] if first is None else [F.min("first").alias("first")]))
+    return votes.groupBy(key).agg(F.count("*").alias("all"), *([] if first is None else [F.min("first").alias("keeper")])).filter(F.col("all") >= min_docs).drop("all")
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, copy, line) of the lines to drop, each once, copy and line as hashes: see drop_recurring_lines. Without classes, copy is left out."""
+    words = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), common.text_key(text).alias("copy"), F.explode(_lines(F.col(f"`{text}`"))).alias("raw"))
     words = words.filter(F.col("raw") != "").withColumn("m", masked(F.col("raw")))
     keyed = words.select("doc_id", "copy", F.xxhash64("m").alias("line"), _leaf(F.col("m")).alias("leaf"))
+    if classes is not None:
+        keyed = keyed.join(_few(classes), "copy", "left").select("doc_id", "copy", "line", "leaf", F.coalesce("class", "copy").alias("class"))
     keyed = common.cut(keyed, "line-keys")
 
-    support = keyed.groupBy("line", "leaf", "copy").agg(F.min("doc_id").alias("first")).groupBy("line", "leaf").agg(F.count("*").alias("support"), F.min("first").alias("first"))
-    support = common.cut(support, "line-support")
-    leaves = common.cut(support.groupBy("leaf").agg(F.sum("support").alias("all")).filter(F.col("all") >= min_docs).select("leaf"), "line-leaves")
+    if classes is None:
+        folded = keyed.groupBy("line", "leaf", "copy").agg(F.min("doc_id").alias("first"))
+        support = folded.groupBy("line", "leaf").agg(F.count("*").alias("support"), F.min("first").alias("first"))
+        support = common.cut(support, "line-support")
+        leaves = _enough(support, "leaf", min_docs)
+    else:
+        # The first class: that of the smallest id; one without ids comes last.
+        folded = common.cut(keyed.groupBy("line", "leaf", "class").agg(F.min("doc_id").alias("first")), "line-classes")
+        support = folded.groupBy("line", "leaf").agg(F.count("*").alias("support"), F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "class")).alias("first"))
+        support = common.cut(support, "line-support")
+        leaves = folded.groupBy("leaf", "class").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("all")).filter(F.col("all") >= min_docs).select("leaf")
+    leaves = common.cut(leaves, "line-leaves")
 
     # One row for each different line of a leaf that may recur, with its tokens.
     hot = words.select("m", F.xxhash64("m").alias("line"), _leaf(F.col("m")).alias("leaf")).join(_few(leaves), "leaf")
     hot = hot.groupBy("line", "leaf").agg(F.first("m").alias("m")).join(support, ["line", "leaf"])
+    more = ["support", "first"]
+    if classes is not None:
+        # A line of min_docs classes is enough by itself: which they are matters for the others only.
+        hot = common.cut(hot, "line-hot")
+        weak = folded.join(hot.filter(F.col("support") < min_docs).select("line", "leaf"), ["line", "leaf"])
+        weak = weak.groupBy("line", "leaf").agg(F.collect_set("class").alias("voters"))
+        anyone = F.array(*[F.lit(i).cast("long") for i in range(min_docs)])
+        hot = hot.join(weak, ["line", "leaf"], "left").withColumn("voters", F.coalesce("voters", anyone))
+        more = [*more, "voters"]
     hot = common.cut(hot, "line-candidates")
-    tokens = hot.select("line", "leaf", "support", "first", F.posexplode(F.split("m", " ")).alias("at", "token")).withColumn("field", F.xxhash64("leaf", "at", "token"))
-    constant = tokens.groupBy("field").agg(F.sum("support").alias("seen")).filter(F.col("seen") >= min_docs).select("field", F.lit(True).alias("constant"))
+    tokens = hot.select("line", "leaf", *more, F.posexplode(F.split("m", " ")).alias("at", "token")).withColumn("field", F.xxhash64("leaf", "at", "token"))
+    constant = _enough(tokens, "field", min_docs).select("field", F.lit(True).alias("constant"))
     constant = common.cut(constant, "line-fields")
     kept = tokens.join(constant, "field", "left")
     # Leading tokens are the leaf's own; masked fields are alike wherever they stand.
     fixed = F.col("constant").isNotNull() | (F.col("at") < DEPTH)
     word = F.when(fixed, F.col("token")).otherwise(F.lit("<*>"))
-    shape = kept.groupBy("line", "leaf", "support", "first").agg(
+    shape = kept.groupBy("line", "leaf", *more).agg(
         F.count("*").alias("n"),
         F.sum(fixed.cast("long")).alias("n_fixed"),
         F.max((fixed & (F.col("token") != "<*>") & (F.col("token") != "")).cast("int")).alias("some"),
         F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("template"),
     )
-    shape = shape.filter((F.col("n_fixed") * 100 >= F.col("n") * percent) & (F.col("some") == 1)).select("line", "support", "first", F.xxhash64("leaf", F.col("template.word")).alias("template"))
+    shape = shape.filter((F.col("n_fixed") * 100 >= F.col("n") * percent) & (F.col("some") == 1)).select("line", *more, F.xxhash64("leaf", F.col("template.word")).alias("template"))
     shape = common.cut(shape, "line-templates")
-    recurring = shape.groupBy("template").agg(F.sum("support").alias("all"), F.min("first").alias("keeper")).filter(F.col("all") >= min_docs).select("template", "keeper")
+    recurring = _enough(shape, "template", min_docs, F.col("first")).select("template", "keeper")
     # Cut, so that a join on a template that many lines share may be split.
     recurring = common.cut(recurring, "line-recurring")
     lines = common.cut(shape.select("line", "template").join(recurring, "template").select("line", "keeper"), "line-drops")
-    drops = keyed.select("doc_id", "line").join(_few(lines), "line").filter(F.col("doc_id") != F.col("keeper"))
-    return drops.select("doc_id", "line").distinct()
+    if classes is None:
+        drops = keyed.select("doc_id", "line").join(_few(lines), "line").filter(F.col("doc_id") != F.col("keeper"))
+        return drops.select("doc_id", "line").distinct()
+    drops = keyed.join(_few(lines), "line").filter(F.col("class") != F.col("keeper.class"))
+    return drops.select("doc_id", "copy", "line").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
     """docs with text less the lines whose template recurs, and n_lines and n_dropped.
 
     Lines end at line feeds; empty ones stay. A document of which all lines are dropped has an empty text; one with nothing to
     drop is unchanged. Null text stays null, with 0 lines. The first document of a template is the one with the smallest id;
     null ids count as documents but lose no line. Rows that share an id share its lines to drop; repeated rows stay. An empty table gives an empty result;
     columns named n_lines and n_dropped are replaced.
+
+    With classes (copy, class: jaccard_join.text_classes) the first class is that with the smallest id, and keeps the lines in all its rows;
+    each row is judged by its own text, whether or not its id is null or repeats.
     """
-    drops = recurring_lines(docs, min_docs, percent, doc_id, text)
-    lists = common.cut(drops.groupBy("doc_id").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("doc_id", "__id"), "line-lists")
+    drops = recurring_lines(docs, min_docs, percent, doc_id, text, classes)
+    keys = [c for c in drops.columns if c != "line"]
+    lists = drops.groupBy(*keys).agg(F.collect_list("line").alias("__lines")).select(F.col("doc_id").alias("__id"), *[F.col(c).alias("__copy") for c in keys[1:]], "__lines")
+    lists = common.cut(lists, "line-lists")
+    same = F.col(f"`{doc_id}`") == F.col("__id") if classes is None else F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (common.text_key(text) == F.col("__copy"))
     # The lists grow with the corpus: they are merged at every size, rather than broadcast while they happen to be small.
-    joined = docs.join(lists.hint("merge"), F.col(f"`{doc_id}`") == F.col("__id"), "left")
+    joined = docs.join(lists.hint("merge"), same, "left")
     lines = _lines(F.col(f"`{text}`"))
     left = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("__lines"), F.xxhash64(masked(x))))
     some = F.col("__lines").isNotNull()

@@ -64,3 +64,34 @@ def test_extra_columns_that_clash(spark, folder):
         out = stage(spark, docs, folder)
         assert out.columns.count("doc_id") == 1
         assert out.count() > 0, name
+
+
+def near_copies(rng, first, n, lines=12, words=25, footer=()):
+    """n rows whose texts of several lines differ in one word in a hundred; every third has its change in one place, the others anywhere."""
+    base = [sentence(rng, "en", words).split(" ") for _ in range(lines)]
+    rows = []
+    for i in range(n):
+        text = [list(x) for x in base]
+        for j in range(lines * words // 100):
+            at = (2 + j, words // 2) if i % 3 == 0 else (rng.randrange(lines), rng.randrange(words))
+            text[at[0]][at[1]] = f"edit{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}{'xyz'[j % 3]}"
+        rows.append((first + i, "\n".join([*(" ".join(x) for x in text), *footer]), "en", "src0", 1))
+    return rows
+
+
+def test_near_copies_of_several_lines_are_found_after_line_dedup(spark, docs):
+    rng = random.Random(23)
+    footer = ["All rights reserved by the owner of this page", "Read more about this and other things here today"]
+    groups = [near_copies(rng, 1000, 5), near_copies(rng, 1100, 30), near_copies(rng, 1200, 8, footer=footer), near_copies(rng, 1300, 6, footer=footer)]
+    other = [(1400 + i, "\n".join([sentence(rng, "en", 60), *footer]), "en", "src0", 1) for i in range(6)]
+    exact = [(1500 + i, groups[2][0][1], "en", "src0", 1) for i in range(4)]
+    table = spark.createDataFrame([*(r for g in groups for r in g), *other, *exact], docs.schema)
+    cleaned = common.cut(corpus_pipeline.drop_boilerplate(spark, table, ""), "test-near-copies")
+    texts = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert all(texts[r[0]] == r[1] for g in groups[:2] for r in g)
+    # The first class keeps the lines in all its documents, the others lose them in all.
+    assert all(texts[r[0]] == r[1] for r in [*groups[2], *exact])
+    assert all(texts[r[0]] == "\n".join(r[1].split("\n")[:-2]) for r in groups[3])
+    assert all(texts[r[0]] == r[1].split("\n")[0] for r in other)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, cleaned, "").collect()}
+    assert kept == {1000, 1100, 1200, 1300, *range(1400, 1406)}
