@@ -13,6 +13,8 @@ from lodestrata.llm import common, decontaminate, jaccard_join, language_id, lin
 
 #: Documents whose most likely language is less likely than this are rejected with the undetermined ones.
 MIN_LANGUAGE_SCORE = 0.4
+#: A line of so many words goes from a second text that has it; a shorter one when its template recurs.
+LONG_LINE_WORDS = 50
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines whose template recurs in texts that are not near copies; n_chars follows the text."""
+    """All documents, less the lines whose template recurs in texts that are not near copies, and long lines that any other has; n_chars follows the text."""
     classes = common.cut_alone(lambda: jaccard_join.text_classes(docs, k=5, percent=80), "pipeline-classes")
-    cleaned = line_templates.drop_recurring_lines(docs, classes=classes)
+    cleaned = line_templates.drop_recurring_lines(docs, classes=classes, long_words=LONG_LINE_WORDS)
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
     columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(*[columns[c].alias(c) for c in docs.columns])

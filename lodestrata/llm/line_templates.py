@@ -65,7 +65,7 @@ def _enough(rows: DataFrame, key: str, min_docs: int, first: Column | None = Non
     return votes.groupBy(key).agg(F.count("*").alias("all"), *([] if first is None else [F.min("first").alias("keeper")])).filter(F.col("all") >= min_docs).drop("all")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None, long_words: int | None = None) -> DataFrame:
     """(doc_id, copy, line) of the lines to drop, each once, copy and line as hashes: see drop_recurring_lines. Without classes, copy is left out."""
     words = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), common.text_key(text).alias("copy"), F.explode(_lines(F.col(f"`{text}`"))).alias("raw"))
     words = words.filter(F.col("raw") != "").withColumn("m", masked(F.col("raw")))
@@ -122,11 +122,32 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_i
     if classes is None:
         drops = keyed.select("doc_id", "line").join(_few(lines), "line").filter(F.col("doc_id") != F.col("keeper"))
         return drops.select("doc_id", "line").distinct()
-    drops = keyed.join(_few(lines), "line").filter(F.col("class") != F.col("keeper.class"))
-    return drops.select("doc_id", "copy", "line").distinct()
+    drops = keyed.join(_few(lines), "line").filter(F.col("class") != F.col("keeper.class")).select("doc_id", "copy", "line")
+    if long_words is not None:
+        drops = drops.unionAll(_long_drops(words, classes, long_words))
+    return drops.distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
+def _long_drops(words: DataFrame, classes: DataFrame, long_words: int) -> DataFrame:
+    """(doc_id, copy, line) of the lines of long_words words or more that an earlier class has word for word, digits included."""
+    long = words.filter(_is_long(F.col("raw"), long_words)).select("doc_id", "copy", _exact(F.col("raw")).alias("line"))
+    long = common.cut(long.join(_few(classes), "copy", "left").select("doc_id", "copy", "line", F.coalesce("class", "copy").alias("class")), "long-lines")
+    folded = long.groupBy("line", "class").agg(F.min("doc_id").alias("first"))
+    shared = folded.groupBy("line").agg(F.count("*").alias("support"), F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "class")).alias("keeper"))
+    shared = common.cut(shared.filter("support > 1").select("line", "keeper"), "long-shared")
+    return long.join(_few(shared), "line").filter(F.col("class") != F.col("keeper.class")).select("doc_id", "copy", "line")
+
+
+def _is_long(line: Column, long_words: int) -> Column:
+    return (F.length(line) >= 2 * long_words - 1) & (F.regexp_count(line, F.lit(r"\S+")) >= long_words)
+
+
+def _exact(line: Column) -> Column:
+    """The hash of a line as it is, apart from those of masked lines."""
+    return F.xxhash64(line, F.lit("exact"))
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None, long_words: int | None = None) -> DataFrame:
     """docs with text less the lines whose template recurs, and n_lines and n_dropped.
 
     Lines end at line feeds; empty ones stay. A document of which all lines are dropped has an empty text; one with nothing to
@@ -135,9 +156,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80,
     columns named n_lines and n_dropped are replaced.
 
     With classes (copy, class: jaccard_join.text_classes) the first class is that with the smallest id, and keeps the lines in all its rows;
-    each row is judged by its own text, whether or not its id is null or repeats.
+    each row is judged by its own text, whether or not its id is null or repeats. With long_words too, a line of so many words or more goes
+    if a second class has it, digits included: two texts that are not near copies are enough. A passage inside a longer line is out of reach.
     """
-    drops = recurring_lines(docs, min_docs, percent, doc_id, text, classes)
+    if long_words is not None and classes is None:
+        raise ValueError("long_words needs classes")
+    drops = recurring_lines(docs, min_docs, percent, doc_id, text, classes, long_words)
     keys = [c for c in drops.columns if c != "line"]
     lists = drops.groupBy(*keys).agg(F.collect_list("line").alias("__lines")).select(F.col("doc_id").alias("__id"), *[F.col(c).alias("__copy") for c in keys[1:]], "__lines")
     lists = common.cut(lists, "line-lists")
@@ -145,7 +169,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80,
     # The lists grow with the corpus: they are merged at every size, rather than broadcast while they happen to be small.
     joined = docs.join(lists.hint("merge"), same, "left")
     lines = _lines(F.col(f"`{text}`"))
-    left = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("__lines"), F.xxhash64(masked(x))))
+    gone = lambda x: F.array_contains(F.col("__lines"), F.xxhash64(masked(x)))
+    either = gone if long_words is None else lambda x: gone(x) | F.array_contains(F.col("__lines"), _exact(x))
+    left = F.filter(lines, lambda x: (x == "") | ~either(x))
     some = F.col("__lines").isNotNull()
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_lines = F.when(F.col(f"`{text}`").isNull(), F.lit(0).cast("long")).otherwise(n_lines)

@@ -61,3 +61,14 @@ def test_equals_sql(spark, docs, tmp_path):
     want = c.sql(f"SELECT doc_id, text, n_lines, n_dropped FROM ({queries.OP5_SQL}) ORDER BY 1").fetchall()
     got = queries.op5_line_templates(spark, os.path.dirname(path)).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_long_lines_go_from_a_second_class(spark):
+    shared = " ".join(f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(50))
+    rows = [(i, f"text {'abcd'[i]} has a line of its own\n{shared}") for i in range(3)]
+    rows += [(4, f"here one word fewer\n{shared[:-7]}"), (5, f"here too\n{shared[:-7]}"), (6, f"the number is another\n{shared} 1"), (7, f"than in this text\n{shared} 2"), (None, f"nameless\n{shared}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Texts 0 and 1 are said to be near copies.
+    near = docs.filter("doc_id < 2").select(lt.common.text_key("text").alias("copy"), F.lit(0).cast("long").alias("class"))
+    got = {r["doc_id"]: r["n_dropped"] for r in lt.drop_recurring_lines(docs, classes=near, long_words=50).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 4: 0, 5: 0, 6: 0, 7: 0, None: 1}
