@@ -244,7 +244,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
     Words are runs of ASCII letters and digits and of non-ASCII characters of the lower-cased text; a shingle is k
     words. An item of fewer than k words is contained only in a document of exactly these words; an item or document without
-    words (or null) in and of nothing. Repeated rows give repeated rows; empty tables an empty result.
+    words (or null) in and of nothing. Items with a null id are left out, as their hits could not be named: decontaminate() searches them too. Repeated rows give repeated rows; empty tables an empty result.
     Windows find an item whose shingles lie together; those of one that is scattered over a document in pieces are
     found if a window holds enough of them.
     """
@@ -262,9 +262,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose text contains an item, as contained_items() finds them; all columns stay.
 
-    Rows go by their own text, whatever their ids. Each block of items is one more step of the same pass: nothing is shuffled.
+    Rows go by their own text, whatever their ids, and so do items: one with a null id counts like any other. Each block of items is one more step of the same pass: nothing is shuffled.
     """
-    wanted = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null")
+    wanted = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
     for ids, block in _item_blocks(wanted):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(ids, block, k, percent))
         docs = docs.mapInArrow(_without(index, text), docs.schema)

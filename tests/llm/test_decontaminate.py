@@ -83,3 +83,10 @@ def test_window_minima():
     for width in (1, 2, 3, 5, 8, 13, 40, 64):
         got = dec._window_minima({1: x}, width)
         assert [int(v) for v in got] == [int(x[i : i + width].min()) for i in range(len(x))]
+
+
+def test_an_item_without_an_id_counts(spark):
+    docs = spark.createDataFrame([(1, "before it a nameless item text of seven words after it"), (2, "quite another text of some words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a nameless item text of seven words")], ITEMS)
+    assert [r["doc_id"] for r in dec.decontaminate(docs, items).collect()] == [2]
+    assert dec.contained_items(docs, items).count() == 0
