@@ -35,15 +35,29 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that Jaccard links connect, that with the smallest id."""
+    """One document of each group that Jaccard links connect, that with the smallest id.
+
+    Where ids are null or repeat, each different text is judged by itself: one row of a group stays, one with an id if any has one.
+    """
+    if not jaccard_join.distinct_ids(docs):
+        return _one_of_each_class(docs)
     grouped = common.cut(jaccard_join.jaccard_components(docs, k=5, percent=80), "pipeline-groups")
     gone = common.cut(grouped.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")), "pipeline-gone")
-    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if grouped.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    # Rows that repeat an id are one document.
-    known, unknown = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
-    return known.dropDuplicates(["doc_id"]).unionAll(unknown)
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def _one_of_each_class(docs: DataFrame) -> DataFrame:
+    classes = common.cut_alone(lambda: jaccard_join.text_classes(docs, k=5, percent=80), "pipeline-classes")
+    rows = docs.withColumn("__copy", common.text_key("text"))
+    # Texts without words link with nothing, not even their like.
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = rows.filter(~blank).select("doc_id", "__copy").join(classes, F.col("__copy") == F.col("copy"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__copy")).alias("first")
+    winners = worded.groupBy(F.coalesce("class", "__copy").alias("class")).agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.__copy").alias("__text"))
+    winners = common.cut(winners, "pipeline-winners")
+    kept = rows.filter(~blank).join(winners.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__text")), "left_semi")
+    known = kept.dropDuplicates(["doc_id", "__copy"]).unionAll(rows.filter(blank & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__copy"]))
+    return known.unionAll(rows.filter(blank & F.col("doc_id").isNull())).drop("__copy")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

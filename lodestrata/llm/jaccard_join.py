@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,10 +133,10 @@ def _reaches(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) ->
 
 def _verify(k: int, percent: int, words: shingles.Words):
     def sets(batch: pa.RecordBatch, which: str) -> list[np.ndarray]:
-        """Each row's set; one text in neighbouring rows is hashed once."""
-        ids = batch.column(which).to_numpy()
-        change = np.concatenate([[True], ids[1:] != ids[:-1]])
-        texts = batch.column(f"text_{which}").take(pa.array(np.flatnonzero(change)))
+        """Each row's set; one text in neighbouring rows of one id is hashed once."""
+        ids, all_texts = batch.column(which).to_numpy(), batch.column(f"text_{which}").fill_null("")
+        change = np.concatenate([[True], (ids[1:] != ids[:-1]) | pc.not_equal(all_texts[1:], all_texts[:-1]).to_numpy(zero_copy_only=False)])
+        texts = all_texts.take(pa.array(np.flatnonzero(change)))
         found = shingles.shingle_sets(*shingles.text_bytes(texts), k, words)
         return [found[i] for i in np.cumsum(change) - 1]
 

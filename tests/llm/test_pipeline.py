@@ -95,3 +95,12 @@ def test_near_copies_of_several_lines_are_found_after_line_dedup(spark, docs):
     assert all(texts[r[0]] == r[1].split("\n")[0] for r in other)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, cleaned, "").collect()}
     assert kept == {1000, 1100, 1200, 1300, *range(1400, 1406)}
+
+
+def test_ids_that_repeat_or_are_null(spark, docs):
+    rng = random.Random(31)
+    a, b, c, d = (sentence(rng, "en", 40) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (None, c), (None, d), (None, d), (4, ""), (4, ""), (5, None)]
+    table = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], docs.schema)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect())
+    assert kept == sorted((str(i), t) for i, t in [(1, a), (2, b), (3, c), (None, d), (4, ""), (5, None)])
