@@ -4,12 +4,15 @@ Vectors are cut into two-dimensional subspaces, each with sixteen codewords: fou
 codebooks minimise the score-aware loss, which weighs the part of the residual that is parallel to
 the vector ``eta`` times its orthogonal part, since the parallel part is what changes large inner products.
 They are fitted by block coordinate descent (codes, then codewords, each in closed form) on at most
-SAMPLE_VECTORS vectors; every vector is then encoded, and each has its codes in the index.
-
-A search takes its queries in blocks of at most QUERY_BLOCK, which bounds what is broadcast. Each task
-scans its rows' codes through each query's tables (two four-bit codes share one table of 256 sums), reranks
-the best ``rerank`` of each batch by exact double-precision inner products on the original vectors, which
-lie in the same rows, and keeps the k best; the tasks' lists then meet in one small window.
+SAMPLE_VECTORS vectors of each length; every vector is then encoded, and each has its codes in the index. A query meets the
+vectors of its own length.
+
+The index is a table of segments: vectors go to a segment by a hash, a segment holds SEGMENT_BYTES of them with their codes, and copies are folded
+before they move. A search packs its queries likewise and holds every block of queries against every segment, in one job and without a shuffle of either. In a task,
+each block builds its queries' tables a tile of TABLE_BYTES at a time, scans the segment's codes through them (two four-bit codes share one
+table of 256 sums), and reranks the best ``rerank`` of the segment by exact double-precision inner products on the original vectors, which lie in the same row. What is found thus depends
+on the vectors alone, neither on the order of rows nor on their partitions, and never is less than a rerank of the best ``rerank`` of the whole index would find. The k best of
+each task meet in one small window.
 """
 
 from __future__ import annotations
@@ -23,26 +26,31 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import common
 
-#: The bound of the training sample, and of the queries that are broadcast at once.
+#: Bounds of the training sample of each length: vectors, and their bytes.
 SAMPLE_VECTORS = 16384
-QUERY_BLOCK = 4096
+SAMPLE_BYTES = 64 << 20
+#: Bytes of vectors in a segment of the index and in a block of queries, and of the tables that a task holds at once.
+SEGMENT_BYTES = 4 << 20
+QUERY_BYTES = 1 << 20
+TABLE_BYTES = 32 << 20
+#: Candidates that a task keeps of blocks it has met, before it sends them on.
+HELD = 1 << 20
 CODEWORDS = 16
 SUBSPACE_DIMS = 2
-INDEX = "vec_id long, embedding array<double>, codes binary"
+PACKED = "dims int, ids binary, vectors binary, codes binary, copies binary"
+HITS = "query_id long, vec_id long, score double, copies long"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part.
+    """vec_id, embedding (as it is) and dims of the vectors that take part.
 
-    Those with a null id, null, zero, or with null or non-finite components, do not; nor do those whose length
-    differs from the most frequent one (of equally frequent lengths, the largest).
+    Those with a null id, null, zero, or with null or non-finite components, do not.
     """
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"))
+    rows = vectors.select(common.col(vec_id).cast("long").alias("vec_id"), common.col(embedding).alias("embedding"))
     e = F.col("embedding")
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & e.isNotNull()).filter(finite & F.exists(e, lambda x: x != 0))
-    most = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.filter(F.size("embedding") == (most[0]["n"] if most else 0))
+    return rows.withColumn("dims", F.size("embedding"))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -125,30 +133,88 @@ class Quantiser:
         return (one[0::2, :, None] + one[1::2, None, :]).reshape(-1, CODEWORDS * CODEWORDS)
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE_VECTORS) -> Quantiser | None:
-    """A quantiser from at most ``sample`` of the usable vectors, chosen by a hash of their ids; None without any."""
-    n = rows.count()
-    if not n:
-        return None
-    share = min(1.0, 1.2 * sample / n)
-    chosen = rows.filter((F.xxhash64("vec_id") % 1_000_003 + 1_000_003) % 1_000_003 < int(share * 1_000_003) + 1)
-    got = chosen.select("embedding").limit(sample).toArrow()
-    if not got.num_rows:
-        got = rows.select("embedding").limit(sample).toArrow()
-    column = got.column("embedding").combine_chunks()
-    return Quantiser.fit(_matrix(column, len(column[0])))
+def fit(rows: DataFrame, sample: int = SAMPLE_VECTORS) -> dict[int, Quantiser]:
+    """A quantiser for each length of the usable vectors, from at most ``sample`` of each, taken by their hashes."""
+    size = 8 * F.col("dims")
+    got = common.hashed_sample(rows, ["vec_id", "embedding"], sample, size, SAMPLE_BYTES, per="dims")
+    lengths = got.column("dims").to_numpy()
+    # A vector longer than the sample's bytes allow has no codes of its own; all of its length are then compared exactly.
+    return {int(d): Quantiser.fit(_matrix(got.filter(pa.array(lengths == d)).column("embedding").combine_chunks(), int(d))) for d in np.unique(lengths)}
+
 
+def _folded(rows: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and numbers of copies of a batch's different rows, which are all of one length."""
+    ids, vectors = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding"), dims)
+    copies = np.ones(len(ids), np.int64)
+    if len(np.unique(ids)) < len(ids):
+        whole = np.concatenate([ids[:, None].astype(np.int64), vectors.view(np.int64)], axis=1)
+        _, first, copies = np.unique(whole, axis=0, return_index=True, return_counts=True)
+        ids, vectors = ids[first], vectors[first]
+    return ids, vectors, copies
 
-def build_index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """Every usable row with its packed codes, written to the shared folder."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(shared):
+    """(dims, segment, vec_id, vector, codes, copies) of the different rows of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantisers: dict[int, Quantiser] = shared.value
         for b in batches:
-            if b.num_rows:
-                packed = quantiser.pack(quantiser.codes(_matrix(b.column("embedding"), quantiser.dims)))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "embedding", "codes"])
+            parts = b.column("part").to_numpy()
+            lengths = b.column("dims").to_numpy()
+            for d, part in {(int(d), int(p)) for d, p in zip(lengths, parts, strict=True)}:
+                ids, vectors, copies = _folded(b.filter(pa.array((lengths == d) & (parts == part))), d)
+                codes = [b""] * len(ids)
+                if d in quantisers:
+                    codes = [r.tobytes() for r in quantisers[d].pack(quantisers[d].codes(vectors))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d] * len(ids), pa.int32()), pa.array([part] * len(ids), pa.int64()), pa.array(ids), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(codes, pa.binary()), pa.array(copies)],
+                    ["dims", "part", "vec_id", "vector", "codes", "copies"],
+                )
+
+    return run
+
 
-    return common.cut(rows.mapInArrow(encode, INDEX), "ann-index")
+def _pack(width: int):
+    """Segments of the sorted rows of (dims, part): their copies folded anew, width bytes of vectors a row."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        d, ids, vectors, codes, copies = rows[0][0], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([d], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vectors)], pa.binary()), pa.array([b"".join(codes)], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary())],
+            ["dims", "ids", "vectors", "codes", "copies"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for row in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if rows and rows[-1][:4] == row[:4]:
+                    rows[-1] = (*row[:5], rows[-1][5] + row[5])
+                    continue
+                if rows and (rows[-1][:2] != row[:2] or len(rows) * 8 * row[0] >= width):
+                    yield flush(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield flush(rows)
+
+    return run
+
+
+def pack(rows: DataFrame, quantisers: dict[int, Quantiser], width: int, label: str) -> DataFrame:
+    """The usable rows as PACKED segments of about width bytes of vectors, written to the shared folder.
+
+    The segment of a row follows from its id and vector and from the number of rows of its length.
+    """
+    counts = {r["dims"]: r["count"] for r in rows.groupBy("dims").count().collect()}
+    if not counts:
+        return rows.sparkSession.createDataFrame([], PACKED)
+    parts = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, max(1, -(-n * d * 8 // width)))])
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding", F.lit("part")), F.element_at(parts, F.col("dims")).cast("long")))
+    shared = rows.sparkSession.sparkContext.broadcast(quantisers)
+    coded = dealt.mapInArrow(_encode(shared), "dims int, part long, vec_id long, vector binary, codes binary, copies long")
+    together = coded.repartition("dims", "part").sortWithinPartitions("dims", "part", "vec_id", "vector")
+    return common.cut(together.mapInArrow(_pack(width), PACKED), label)
 
 
 def _best(scores: np.ndarray, n: int) -> np.ndarray:
@@ -160,78 +226,83 @@ def _best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == edge)[: n - len(above)]])
 
 
-def _scan(quantiser: Quantiser, block, k: int, rerank: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = block.value
-        tables = None
-        kept = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
-        for b in batches:
-            if not b.num_rows:
-                continue
+def _nearest(quantiser: Quantiser | None, ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, the scores and places of its k nearest in a segment, itself apart."""
+    tile = len(ids) if quantiser is None else max(1, TABLE_BYTES // (4 * CODEWORDS * CODEWORDS * len(codes)))
+    scores, term = np.empty(len(vec_ids), np.float32), np.empty(len(vec_ids), np.float32)
+    for s in range(0, len(ids), tile):
+        tables = [quantiser.tables(q) for q in queries[s : s + tile]] if quantiser is not None else None
+        for i in range(s, min(s + tile, len(ids))):
+            own = vec_ids == ids[i]
             if tables is None:
-                tables = [quantiser.tables(q) for q in queries]
-            order = np.argsort(b.column("vec_id").to_numpy(), kind="stable")
-            vec_ids = b.column("vec_id").to_numpy()[order]
-            vectors = _matrix(b.column("embedding"), quantiser.dims)[order]
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(order), -1)[order].T.copy()
-            scores, term = np.empty(len(order), np.float32), np.empty(len(order), np.float32)
-            for i, q in enumerate(queries):
-                np.take(tables[i][0], codes[0], out=scores, mode="clip")
+                at = np.flatnonzero(~own)
+            else:
+                np.take(tables[i - s][0], codes[0], out=scores, mode="clip")
                 for p in range(1, len(codes)):
-                    np.take(tables[i][p], codes[p], out=term, mode="clip")
+                    np.take(tables[i - s][p], codes[p], out=term, mode="clip")
                     scores += term
-                scores[vec_ids == ids[i]] = -np.inf
+                scores[own] = -np.inf
                 at = _best(scores, rerank)
-                at = at[vec_ids[at] != ids[i]]
-                exact = (vectors[at] * q).sum(1)
-                s, v = np.concatenate([kept[i][0], exact]), np.concatenate([kept[i][1], vec_ids[at]])
-                first = np.lexsort((v, -s))[:k]
-                kept[i] = s[first], v[first]
-        n = [len(s) for s, _ in kept]
-        if sum(n):
-            out = [np.repeat(ids, n), np.concatenate([v for _, v in kept]), np.concatenate([s for s, _ in kept])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "vec_id", "score"])
+                at = at[~own[at]]
+            exact = (vectors[at] * queries[i]).sum(1)
+            first = np.lexsort((vec_ids[at], -exact))[:k]
+            yield exact[first], at[first]
+
+
+def _scan(shared, k: int, rerank: int):
+    """The k nearest of every query in all segments that a task meets."""
+
+    def sent(kept: dict) -> pa.RecordBatch:
+        n = [len(x[0]) for x in kept.values()]
+        out = [np.repeat(np.array([q for q, _ in kept], np.int64), n), *[np.concatenate([x[j] for x in kept.values()]) for j in (1, 0, 2)]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "vec_id", "score", "copies"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantisers: dict[int, Quantiser] = shared.value
+        kept: dict[tuple, tuple] = {}
+        for b in batches:
+            for d, ids, queries, dims, vec_ids, vectors, codes, copies in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
+                if d != dims:
+                    continue
+                vec_ids, copies = np.frombuffer(vec_ids, np.int64), np.frombuffer(copies, np.int64)
+                vectors, ids, queries = np.frombuffer(vectors).reshape(-1, d), np.frombuffer(ids, np.int64), np.frombuffer(queries).reshape(-1, d)
+                codes = np.frombuffer(codes, np.uint8).reshape(len(vec_ids), -1).T.copy()
+                for q, (s, at) in zip(ids.tolist(), _nearest(quantisers.get(d), ids, queries, vec_ids, vectors, codes, k, rerank), strict=True):
+                    found = s, vec_ids[at], copies[at]
+                    if before := kept.get((q, d)):
+                        found = tuple(np.concatenate(x) for x in zip(before, found, strict=True))
+                        first = np.lexsort((found[1], -found[0]))[:k]
+                        found = tuple(x[first] for x in found)
+                    if len(found[0]):
+                        kept[q, d] = found
+                if len(kept) * k >= HELD:
+                    yield sent(kept)
+                    kept = {}
+        if kept:
+            yield sent(kept)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 200, query_block: int = QUERY_BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 200, vec_id: str = "vec_id", embedding: str = "embedding", query_bytes: int = QUERY_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest found, itself apart.
 
-    Both tables hold vec_id and embedding; vectors that usable() leaves out take no part on either side, and
-    queries of another length than the index none. Scores are exact; ties go to the smaller vec_id. With
+    Both tables hold vec_id and embedding; vectors that usable() leaves out take no part on either side. A query is held against the vectors of
+    its own length, and of several rows with one id that with the smallest hash is the query. Scores are exact; ties go to the smaller vec_id. With
     fewer candidates than k, all are returned; an empty table gives an empty result. Repeated rows are
-    candidates each. Each block of queries is one pass over the index.
+    candidates each. Other columns play no part.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, vec_id, embedding)
-    quantiser = fit(rows)
-    if quantiser is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = build_index(rows, quantiser)
-    asked = usable(queries, vec_id, embedding).filter(F.size("embedding") == quantiser.dims)
-    found = None
-    for ids, matrix in _blocks(asked, query_block):
-        hits = index.mapInArrow(_scan(quantiser, spark.sparkContext.broadcast((ids, matrix)), k, rerank), "query_id long, vec_id long, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        best = common.cut(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "ann-hits")
-        found = best if found is None else found.unionAll(best)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return found
-
-
-def _blocks(asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries, one row an id, a partition at a time on the driver, in blocks of at most size."""
-    asked = common.cut(asked.dropDuplicates(["vec_id"]), "ann-queries")
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for r in asked.toLocalIterator(prefetchPartitions=False):
-        ids.append(r["vec_id"])
-        rows.append(r["embedding"])
-        if len(ids) == size:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows)
+    rows, asked = usable(vectors, vec_id, embedding), usable(queries, vec_id, embedding)
+    quantisers = fit(rows)
+    index = pack(rows, quantisers, segment_bytes, "ann-index")
+    one = asked.groupBy("vec_id").agg(F.min_by(F.struct("embedding", "dims"), F.xxhash64("embedding")).alias("q")).select("vec_id", "q.embedding", "q.dims")
+    blocks = pack(one, {}, query_bytes, "ann-queries").select(F.col("dims").alias("query_dims"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    # A stated set of queries, in blocks, against all rows: a row of the product is a whole block and a whole segment.
+    pairs = blocks.crossJoin(index)
+    hits = pairs.mapInArrow(_scan(spark.sparkContext.broadcast(quantisers), k, rerank), HITS)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    each = best.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))).alias("copy"))
+    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -6,7 +6,7 @@ mean over its positions. Texts are read whole, cut into segments of SEGMENT byte
 thousands of segments advance together as the columns of one matrix.
 
 The network is trained by backpropagation through time with Adam on segments drawn from at most MAX_TEXTS
-labelled texts, chosen by a hash of their ids.
+labelled texts of each language, chosen and ordered by their hashes: neither the order of rows nor their partitions matter.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm import shingles
+from lodestrata.llm import common, shingles
 
-#: The bound of the training sample, in rows.
-MAX_TEXTS = 3000
+#: Bounds of the training sample: texts and bytes of text for each language, and languages (the most frequent).
+MAX_TEXTS = 1000
+TEXT_BYTES = 16 << 20
+MAX_LANGUAGES = 500
 SEGMENT = 128
 #: Segments that advance together: their gates fit the processor's cache.
 COLUMNS = 2048
@@ -193,39 +195,48 @@ def document_probabilities(net: Network, column: pa.Array) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str = "doc_id") -> Network | None:
-    """A network from a bounded sample of labelled's rows that have text and a language; None without any."""
-    rows = labelled.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull())
-    n = rows.count()
-    if n > MAX_TEXTS:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(f"`{by}`"), F.lit("lang")), F.lit(1_000_003)) < int(1.1 * MAX_TEXTS / n * 1_000_003) + 1)
-    got = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).limit(MAX_TEXTS).toArrow()
+    """A network from a bounded sample of labelled's rows that have text and a language; None without any.
+
+    A text of over a quarter of a megabyte is not in the sample.
+    """
+    rows = labelled.select(common.col(by).alias("id"), common.col(text).alias("text"), common.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return None
+    rows = rows.filter(F.col("lang").isin([r["lang"] for r in counts]))
+    got = common.hashed_sample(rows, ["id", "text"], MAX_TEXTS, F.octet_length("text"), TEXT_BYTES, per="lang")
     return train([t.encode("utf-8") for t in got.column("text").to_pylist()], got.column("lang").to_pylist())
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, its mean probability over all bytes.
+def predict(docs: DataFrame, net: Network | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with lang_pred and score, its mean probability over all bytes, as the last columns.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learnt. Of equally likely languages the first
-    by name counts. Repeated rows get equal results, an empty table none; columns named lang_pred or score are
-    replaced.
+    by name counts. Repeated rows get equal results, an empty table none; columns named lang_pred or score, in any case, are
+    replaced, all others stay as they are.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    mine = docs.select(*[F.col(f"`{c}`") for c in keep])
+    keep = common.others(docs, lang_pred, score)
+    mine = docs.select(*[common.col(c) for c in keep])
     if net is None:
-        return mine.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return mine.withColumns({lang_pred: F.lit(UNDETERMINED), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array(model.labels, dtype=object)
         for b in batches:
-            p = document_probabilities(model, b.column("__text"))
+            p = document_probabilities(model, b.column(len(keep)))
             best = p.argmax(1) if b.num_rows else np.empty(0, np.int64)
-            letters = b.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = b.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(bool)
             pred = np.where(letters, names[best], UNDETERMINED)
-            score = np.where(letters, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            likely = np.where(letters, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(likely, pa.float64())], [*keep, lang_pred, score])
+
+    content = F.coalesce(common.col(text), F.lit(""))
+    whole, letters = common.helpers(docs, "whole", "letters")
+    rows = docs.select(*[common.col(c) for c in keep], content.alias(whole), has_letter(content).alias(letters))
+    return rows.mapInArrow(run, mine.schema.add(lang_pred, "string").add(score, "double"))
+
 
-    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = mine.withColumns({"__text": content, "__letters": content.rlike(r"\p{L}")})
-    return rows.mapInArrow(run, mine.schema.add("lang_pred", "string").add("score", "double"))
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(r"\p{L}")

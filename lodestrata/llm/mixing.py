@@ -11,7 +11,10 @@ expected tokens of each domain are to match the target. Projected gradient steps
 is one pass that sums a vector and a small matrix over all documents. A step moves r_i by -<p_i, l>,
 the gradient in the metric of tokens, scaled by the inverse of sum n p p^T over the documents whose rate is positive, and
 clips at zero; it is halved until the residual falls. So r_i is a short function of p_i and the steps so far, and nothing but the
-steps' vectors ever reaches the driver.
+steps' vectors ever reaches the driver. The descent ends where the targets are met, or where no step brings them
+nearer, as when no mixture of the documents can meet them; the residual tells which.
+
+Sums over words and documents are of integers (fixed-point values), so that their order changes nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +32,14 @@ MAX_LABELLED = 20_000
 BUCKETS = 1 << 17
 #: Words of a text depend on each other; their joint evidence counts as that of so many times fewer.
 TEMPER = 4.0
-MAX_STEPS = 30
+#: The residual, relative to the corpus's tokens, at which targets count as met.
 TOLERANCE = 1e-7
+#: A step that lessens the residual by a smaller share than this ends the descent.
+LEAST_GAIN = 1e-6
+#: Halvings of a step before it counts as useless.
+HALVINGS = 20
+#: The fixed-point unit of log-likelihoods.
+UNIT = 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -44,11 +53,11 @@ def _bucket(word: Column) -> Column:
 
 @dataclass
 class DomainModel:
-    """log P(word bucket | domain) as a table of at most BUCKETS rows, for the rest a constant each."""
+    """log P(word bucket | domain) less that of the first domain, in units of 1 / UNIT: a table of at most BUCKETS rows, for the rest a constant each."""
 
     domains: list[str]
     table: DataFrame
-    unseen: list[float]
+    unseen: list[int]
     prior: list[float]
 
 
@@ -58,11 +67,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", te
     Null domains and ids count as unlabelled; of several labels of one document the first by name counts.
     """
     named = labelled.select("doc_id", "domain").na.drop().groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    n = named.count()
-    if n > MAX_LABELLED:
-        named = named.filter(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1_000_003)) < int(MAX_LABELLED / n * 1_000_003))
-    named = common.cut(named.limit(MAX_LABELLED), "mix-labels")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
+    named = common.cut(common.hashed_rows(named, ["doc_id"], MAX_LABELLED, F.lit(1), 64 * MAX_LABELLED), "mix-labels")
+    texts = docs.select(common.col(doc_id).alias("doc_id"), common.col(text).alias("text")).filter("text is not null")
     known = texts.join(F.broadcast(named), "doc_id")
     words = known.select("domain", F.explode(F.split(F.translate(F.lower("text"), "\n\t\r", "   "), " ")).alias("word")).filter("word <> ''")
     counts = common.cut(words.groupBy(_bucket(F.col("word")).alias("bucket"), "domain").count(), "mix-counts")
@@ -71,10 +77,15 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", te
     rows = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(rows)
     size = {d: totals.get(d, 0) + BUCKETS for d in domains}
-    likelihoods = [F.log((F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("count"))), F.lit(0)) + 1) / float(size[d])).alias(f"l{i}") for i, d in enumerate(domains)]
-    table = common.cut(counts.groupBy("bucket").agg(*likelihoods), "mix-model") if domains else counts
     every = sum(rows.values())
-    return DomainModel(domains, table, [float(-np.log(size[d])) for d in domains], [float(np.log(rows[d] / every)) for d in domains])
+    if not domains:
+        return DomainModel(domains, counts, [], [])
+    seen = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("count"))), F.lit(0)) + 1 for d in domains]
+    likelihoods = [F.log(n / float(size[d])) for n, d in zip(seen, domains, strict=True)]
+    against = [F.round((x - likelihoods[0]) * UNIT).cast("long").alias(f"l{i}") for i, x in enumerate(likelihoods)]
+    table = common.cut(counts.groupBy("bucket").agg(*against), "mix-model")
+    unseen = [round(float(np.log(size[domains[0]] / size[d])) * UNIT) for d in domains]
+    return DomainModel(domains, table, unseen, [float(np.log(rows[d] / every)) for d in domains])
 
 
 def posteriors(docs: DataFrame, model: DomainModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,7 +94,7 @@ def posteriors(docs: DataFrame, model: DomainModel, doc_id: str = "doc_id", text
     A text without words (or null) has 0 tokens and the prior as posterior.
     """
     k = range(len(model.domains))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("copy"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = docs.select(common.col(doc_id).alias("doc_id"), F.xxhash64(common.col(text)).alias("copy"), F.coalesce(common.col(text), F.lit("")).alias("text"))
     # Rows that are equal in id and text fold: their means are the same and their counts are divided by their number.
     words = rows.select("doc_id", "copy", F.posexplode(F.split(F.translate(F.lower("text"), "\n\t\r", "   "), " ")).alias("at", "word"))
     seen = words.withColumn("bucket", _bucket(F.col("word"))).join(F.broadcast(model.table), "bucket", "left")
@@ -91,11 +102,10 @@ def posteriors(docs: DataFrame, model: DomainModel, doc_id: str = "doc_id", text
     sums = seen.groupBy("doc_id", "copy").agg(
         F.sum(real.cast("long")).alias("words"),
         F.sum((F.col("at") == 0).cast("long")).alias("rows"),
-        *[F.sum(F.when(real, F.coalesce(F.col(f"l{i}"), F.lit(model.unseen[i])) - F.coalesce("l0", F.lit(model.unseen[0])))).alias(f"s{i}") for i in k],
+        *[F.sum(F.when(real, F.coalesce(F.col(f"l{i}"), F.lit(model.unseen[i])))).alias(f"s{i}") for i in k],
     )
     n = (F.col("words") / F.col("rows")).cast("long")
-    # Rounded: the order in which a sum was added up must not decide anything downstream.
-    score = [F.lit(model.prior[i]) + F.round(F.coalesce(F.col(f"s{i}") / F.col("rows") / TEMPER, F.lit(0.0)), 9) for i in k]
+    score = [F.lit(model.prior[i]) + F.coalesce(F.col(f"s{i}") / F.col("rows") / UNIT / TEMPER, F.lit(0.0)) for i in k]
     most = F.greatest(*score) if len(score) > 1 else score[0]
     scored = sums.select("doc_id", "copy", n.alias("n_tokens"), most.alias("top"), *[x.alias(f"e{i}") for i, x in enumerate(score)])
     powers = [F.exp(F.col(f"e{i}") - F.col("top")) for i in k]
@@ -111,71 +121,78 @@ def _rate(steps: list[np.ndarray], k: int) -> Column:
     return r
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> list[np.ndarray]:
-    """The steps' vectors of the projected gradient descent; _rate() applies them."""
+def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[np.ndarray], float]:
+    """The steps' vectors of the projected gradient descent, which _rate() applies, and the residual that is left, as a share of all tokens."""
     k = len(targets)
     n = F.col("n_tokens").cast("double")
+    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+    # Sums may exceed the corpus's tokens a thousand times before they leave 63 bits.
+    unit = 2.0 ** (52 - int(total).bit_length())
 
-    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         r = members.select("*", _rate(steps, k).alias("r"))
-        tokens = [F.sum(n * F.col("r") * F.col(f"p{i}")) for i in range(k)]
-        gram = [F.sum(F.when(F.col("r") > 0, n * F.col(f"p{i}") * F.col(f"p{j}"))) for i in range(k) for j in range(i, k)]
-        got = r.agg(F.sum(n), *tokens, *gram).first()
-        values = np.array([0.0 if x is None else x for x in got])
-        m, at = np.zeros((k, k)), 1 + k
+        exact = lambda x: F.sum(F.round(x * unit).cast("long"))
+        tokens = [exact(n * F.col("r") * F.col(f"p{i}")) for i in range(k)]
+        gram = [exact(F.when(F.col("r") > 0, n * F.col(f"p{i}") * F.col(f"p{j}"))) for i in range(k) for j in range(i, k)]
+        values = np.array([0.0 if x is None else x / unit for x in r.agg(*tokens, *gram).first()])
+        m, at = np.zeros((k, k)), k
         for i in range(k):
             for j in range(i, k):
                 m[i, j] = m[j, i] = values[at]
                 at += 1
-        return values[1 : 1 + k], m, values[0]
+        return values[:k], m
 
     steps: list[np.ndarray] = []
-    reached, gram, total = measure(steps)
+    reached, gram = measure(steps)
     goal = np.array(targets) / sum(targets) * total
-    for _ in range(MAX_STEPS):
-        error = np.linalg.norm(reached - goal)
-        if error <= TOLERANCE * max(total, 1.0):
-            break
+    error = float(np.linalg.norm(reached - goal))
+    while error > TOLERANCE * max(total, 1.0):
         scale = gram + 1e-9 * np.trace(gram) / k * np.eye(k)
         step = np.linalg.solve(scale, reached - goal) if np.trace(gram) > 0 else reached - goal
-        for _ in range(8):
-            then, then_gram, _ = measure([*steps, step])
-            if np.linalg.norm(then - goal) < error:
+        for _ in range(HALVINGS):
+            then, then_gram = measure([*steps, step])
+            left = float(np.linalg.norm(then - goal))
+            if left < error:
                 break
             step = step / 2
         else:
             break
-        # A dozen digits: what a sum's order changes is below them.
         steps.append(step)
-        reached, gram = then, then_gram
-    return steps
+        reached, gram, gain, error = then, then_gram, 1 - left / error, left
+        if gain < LEAST_GAIN:
+            break
+    return steps, error / max(total, 1.0)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, copy, n_tokens, p_<domain>, ..., rate) for each different (doc_id, text) of docs; copy is the text's hash.
+    """(doc_id, copy, n_tokens, p_<domain>, ..., rate, residual) for each different (doc_id, text) of docs; copy is the text's hash.
 
-    rate is the number of times to take a document, whole or not. Targets are relative weights of the labelled table's domains; a domain without one
+    rate is the number of times to take a document, whole or not. residual is the same in every row: how far the expected tokens are from
+    the targets, as a share of all tokens; well above TOLERANCE, no mixture of these documents meets the targets. Targets are relative weights of the labelled
+    table's domains; a domain without one
     is wanted in no amount, a target whose domain nothing is labelled with is an error, as are negative
-    weights and weights of sum 0. Without labelled documents that have text, or with an empty table of documents, every rate is 1.
+    weights and weights of sum 0. Without labelled documents that have text, or with an empty table of documents, every rate is 1 and residual is null.
+    Other columns of docs play no part.
     """
     if any(w < 0 for w in targets.values()) or not sum(targets.values()) > 0:
         raise ValueError("targets must be non-negative weights, not all 0")
     model = fit_domains(docs, labelled, doc_id, text)
     if not model.domains:
-        rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("copy"), F.size(words_of(F.coalesce(F.col(f"`{text}`"), F.lit("")))).cast("long").alias("n_tokens"))
-        return rows.distinct().withColumn("rate", F.lit(1.0))
+        rows = docs.select(common.col(doc_id).alias("doc_id"), F.xxhash64(common.col(text)).alias("copy"), F.size(words_of(F.coalesce(common.col(text), F.lit("")))).cast("long").alias("n_tokens"))
+        return rows.distinct().withColumns({"rate": F.lit(1.0), "residual": F.lit(None).cast("double")})
     if absent := set(targets) - set(model.domains):
         raise ValueError(f"no labelled document is of {sorted(absent)}")
     members = common.cut(posteriors(docs, model, doc_id, text), "mix-members")
-    steps = fit_rates(members, [targets.get(d, 0.0) for d in model.domains])
+    steps, residual = fit_rates(members, [targets.get(d, 0.0) for d in model.domains])
     names = [F.round(F.col(f"p{i}"), 6).alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return members.select("doc_id", "copy", "n_tokens", *names, F.round(_rate(steps, len(model.domains)), 6).alias("rate"))
+    return members.select("doc_id", "copy", "n_tokens", *names, F.round(_rate(steps, len(model.domains)), 6).alias("rate"), F.lit(residual).alias("residual"))
 
 
 def apply_rates(docs: DataFrame, rates: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_tokens and rate, without the documents whose rate is 0; columns with these names are replaced."""
-    keep = [c for c in docs.columns if c not in ("n_tokens", "rate")]
-    mine = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.col(f"`{text}`")).alias("__copy"))
-    right = common.cut(rates.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__right"), "n_tokens", "rate"), "mix-rates")
-    joined = mine.join(right, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__right")))
-    return joined.filter("rate > 0").drop("__copy", "__id", "__right")
+    """docs with n_tokens and rate, without the documents whose rate is 0; columns with these names, in any case, are replaced."""
+    keep = common.others(docs, "n_tokens", "rate")
+    copy, other_id, other_copy = common.helpers(docs, "copy", "other_id", "other_copy")
+    mine = docs.select(*[common.col(c) for c in keep], F.xxhash64(common.col(text)).alias(copy))
+    right = common.cut(rates.select(F.col("doc_id").alias(other_id), F.col("copy").alias(other_copy), "n_tokens", "rate"), "mix-rates")
+    joined = mine.join(right, common.col(doc_id).eqNullSafe(F.col(other_id)) & (F.col(copy) == F.col(other_copy)))
+    return joined.filter("rate > 0").select(*[common.col(c) for c in keep], "n_tokens", "rate")
