@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard self-join by multiple-global-order filtering.
+"""N-gram Jaccard self-join, without loss of links, by multiple-global-order filtering.
 
 Each document is the set of its distinct word shingles. Sort two sets by one global order of all
 shingles: if their Jaccard similarity reaches the threshold, their prefixes (a set's first
@@ -6,8 +6,8 @@ n - ceil(threshold * n) + 1 shingles) share a shingle, under whatever order. So
 prefix shingle under each of several different orders.
 
 Every order puts rare shingles first: the leading part of its key is the (logarithm of the) number of
-documents that hold the shingle, estimated by a count sketch of a fixed size over the whole corpus; the
-rest is a hash that differs from order to order. An estimate may be off, which costs time but no link, as any
+documents that hold the shingle, estimated by a count sketch over the whole corpus, whose counters grow with the corpus up to
+2^MAX_SKETCH_BITS; the rest is a hash that differs from order to order. An estimate may be off, which costs time but no link, as any
 total order will do.
 
 1. Sets are computed in numpy a batch at a time; documents with equal sets fold to one representative.
@@ -16,7 +16,11 @@ total order will do.
    m pairs. Pairs must pass the size filter, the positional filter and the other orders, and are then verified on
    their whole texts.
 3. What these links leave in different components of a bucket is joined in full, under the same
-   filters. Pairs inside a component need no further link.
+   filters. Pairs inside a component need no further link. A bucket in which more than SPLIT documents are left is split by
+   the prefixes of the second order: its pairs must share a shingle of these too.
+
+Shingles are compared by 64-bit hashes: within a pair of sets of n shingles, two different ones are taken for one with a chance
+of n^2 / 2^64.
 """
 
 from __future__ import annotations
@@ -27,28 +31,40 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestrata.llm import common, shingles
 from lodestrata.llm.components import connected_components
 
-#: The sketch: 2^SKETCH_BITS counters, moved in blocks. It bounds what is broadcast (a byte each).
-SKETCH_BITS = 22
+#: The sketch: a counter for every BYTES_A_COUNTER of text, from 2^MIN_SKETCH_BITS to 2^MAX_SKETCH_BITS of them, moved in blocks. The upper end
+#: bounds what is broadcast (a byte each) and what a task counts in (four bytes each).
+MIN_SKETCH_BITS, MAX_SKETCH_BITS = 20, 25
+BYTES_A_COUNTER = 64
 BLOCK = 1 << 15
+#: Counting tasks for each core of the cluster: each sends one sketch, however many files it reads.
+COUNTS_A_CORE = 4
+#: Documents of a bucket, other than the head's, beyond which the second order splits it.
+SPLIT = 2000
 #: Seeds of the further orders. Their prefixes are kept as 32-bit hashes: a clash only lets a pair through.
 ORDER_SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 SIGNATURES = "doc_id long, n long, digest binary, o1 array<long>, o2 array<int>, o3 array<int>"
 
 
-def _sketch(k: int, words: shingles.Words):
+def sketch_bits(n_bytes: int) -> int:
+    """The logarithm of the number of counters for a corpus of so many bytes."""
+    return min(MAX_SKETCH_BITS, max(MIN_SKETCH_BITS, (n_bytes // BYTES_A_COUNTER).bit_length()))
+
+
+def _sketch(k: int, words: shingles.Words, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, some = np.zeros(1 << SKETCH_BITS, np.uint32), False
+        counts, some = np.zeros(1 << bits, np.uint32), False
         for b in batches:
             raw, bounds = shingles.text_bytes(b.column("text"))
             for s in shingles.shingle_sets(raw, bounds, k, words):
                 if len(s):
-                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
                     some = True
         if some:
             pack = zstandard.ZstdCompressor(level=1)
@@ -75,10 +91,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_classes(texts: DataFrame, k: int, words: shingles.Words) -> np.ndarray:
-    """log2 of the documents counted for each counter of the sketch; 2^SKETCH_BITS bytes, whatever the corpus."""
-    parts = texts.mapInArrow(_sketch(k, words), "block int, counts binary")
+    """log2 of the documents counted for each counter of the sketch, a byte each."""
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = sketch_bits(n_bytes)
+    few = texts.coalesce(COUNTS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(_sketch(k, words, bits), "block int, counts binary")
     merged = parts.repartition("block").mapInArrow(_merge, "block int, classes binary")
-    classes = np.zeros(1 << SKETCH_BITS, np.uint8)
+    classes = np.zeros(1 << bits, np.uint8)
     for block, data in merged.collect():
         classes[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(data), np.uint8)
     return classes
@@ -97,6 +116,7 @@ def _smallest(keys: np.ndarray, p: int) -> np.ndarray:
 def _signatures(k: int, percent: int, words: shingles.Words, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
+        shift = np.uint64(64 - (len(table).bit_length() - 1))
         for b in batches:
             raw, bounds = shingles.text_bytes(b.column("text"))
             n, digests, first, rest = [], [], [], [[] for _ in ORDER_SEEDS]
@@ -109,7 +129,7 @@ def _signatures(k: int, percent: int, words: shingles.Words, classes):
                         r.append(np.empty(0, np.int32))
                     continue
                 p = prefix_length(len(s), percent)
-                rank = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+                rank = table[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)
                 first.append(s[_smallest(rank | (s >> np.uint64(6)), p)].view(np.int64))
                 for r, seed in zip(rest, ORDER_SEEDS, strict=True):
                     other = shingles.mix(s ^ np.uint64(seed))
@@ -160,12 +180,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     doc_id that links reach, the document's own included. A text of fewer than k words is one shingle,
     one of none (or null) has the empty set and links with nothing, not even its like. Repeated rows stay; rows that
     share a doc_id are one node. A null doc_id takes no part and has a null component. An empty table gives
-    an empty result. percent must be 1 to 100.
+    an empty result. percent must be 1 to 100. Ids may be of any type that has an order: integers are returned as longs.
     """
     if not 1 <= percent <= 100:
         raise ValueError("percent must be 1 to 100")
-    spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(common.col(doc_id).alias("doc_id"), common.col(text).alias("text"))
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return _components(rows.withColumn("doc_id", F.col("doc_id").cast("long")), k, percent, words)
+    # Numbers in the order of the ids stand for them.
+    named = rows.select(F.col("doc_id").alias("name")).na.drop().distinct().orderBy("name").withColumn("node", F.monotonically_increasing_id())
+    named = common.cut(named, "jaccard-names")
+    found = _components(rows.join(named, F.col("doc_id") == F.col("name"), "left").select(F.col("node").alias("doc_id"), "text"), k, percent, words)
+    both = found.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumnRenamed("name", "own")
+    both = both.join(named.select(F.col("node").alias("component_id"), "name"), "component_id", "left")
+    return both.select(F.col("own").alias("doc_id"), "n_shingles", F.col("name").alias("component_id"))
+
+
+def _components(texts: DataFrame, k: int, percent: int, words: shingles.Words) -> DataFrame:
+    """jaccard_components() of (doc_id, text) with ids that are longs."""
+    spark = texts.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(texts, k, words))
     signed = common.cut(texts.mapInArrow(_signatures(k, percent, words, classes), SIGNATURES), "jaccard-signatures")
 
@@ -173,11 +206,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     filled = signed.filter("n > 0 and doc_id is not null")
     folded = common.cut(filled.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = signed.filter("n > 0").join(folded.select(F.col("rep").alias("doc_id"), "digest", "n"), ["doc_id", "digest", "n"], "left_semi")
-    tokens = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("o1").alias("at", "token"))
-    bucket = Window.partitionBy("token")
-    tokens = tokens.withColumn("m", F.count("*").over(bucket)).withColumn("head", F.min(F.struct("at", "doc", "n")).over(bucket))
-    tokens = tokens.filter("m > 1").select("token", "doc", "n", "at", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at"))
-    tokens = common.cut(tokens, "jaccard-buckets")
+    every = common.cut(reps.select(F.col("doc_id").alias("doc"), "n", "o1"), "jaccard-sets").select("doc", "n", F.posexplode("o1").alias("at", "token"))
+    # A token that many documents share folds before the shuffle, and the join that follows moves single rows, so that Spark may split it.
+    heads = every.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("at", "doc", "n")).alias("head")).filter("m > 1")
+    heads = common.cut(heads.select("token", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at")), "jaccard-heads")
+    tokens = common.cut(every.join(heads.hint("merge"), "token"), "jaccard-buckets")
 
     star = tokens.filter((F.col("doc") != F.col("head")) & _reaches(F.col("n"), F.col("at"), F.col("head_n"), F.col("head_at"), percent))
     star = star.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
@@ -190,10 +223,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
         return joined.withColumn(name, F.coalesce("__c", node)).drop("__c")
 
     marked = common.cut(labelled(labelled(tokens, "doc", "c"), "head", "head_c"), "jaccard-marked")
-    left = marked.filter("c <> head_c").select("token", F.col("doc").alias("d1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("c").alias("c1"))
-    right = marked.select("token", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
-    rest = left.join(right, "token").filter((F.col("c1") != F.col("c2")) & _reaches(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
-    rest = rest.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct()
+    rest = _rest(marked, signed, percent)
     rest = rest.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = _check(rest, signed, texts, k, percent, words)
     final = common.cut(_labels(checked.unionAll(more)), "jaccard-components")
@@ -205,13 +235,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _rest(marked: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents of different components that share a bucket and pass its filters, each once."""
+    outside = marked.filter("c <> head_c")
+    sizes = common.cut(outside.groupBy("token").agg(F.count("*").alias("outside")), "jaccard-outside")
+
+    def pairs(rows: DataFrame, *keys: str) -> DataFrame:
+        side = lambda x: [*keys, *[F.col(c).alias(f"{c}{x}") for c in ("doc", "n", "at", "c")]]
+        both = rows.filter("c <> head_c").select(*side(1)).join(rows.select(*side(2)), list(keys))
+        both = both.filter((F.col("c1") != F.col("c2")) & _reaches(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
+        return both.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"))
+
+    small = marked.join(sizes.filter(F.col("outside") <= SPLIT), "token", "left_semi")
+    large = marked.join(sizes.filter(F.col("outside") > SPLIT), "token", "left_semi")
+    seconds = signed.select(F.col("doc_id").alias("doc"), F.explode("o2").alias("second")).distinct()
+    split = common.cut(large.join(seconds, "doc"), "jaccard-split")
+    return pairs(small, "token").unionAll(pairs(split, "token", "second")).distinct()
+
+
 def text_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(copy, class) of the texts that links connect with other rows: common.text_key() and a number that a component shares.
 
     Where ids are null or repeat, the nodes are the different texts themselves.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), common.text_key(text).alias("copy"), F.col(f"`{text}`").alias("text"))
-    plain = distinct_ids(docs, doc_id)
+    rows = docs.select(common.col(doc_id).alias("doc_id"), common.text_key(text).alias("copy"), common.col(text).alias("text"))
+    # A class is a number: of the smallest id of integers, else of a text.
+    plain = isinstance(rows.schema["doc_id"].dataType, IntegralType) and distinct_ids(docs, doc_id)
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long")) if plain else rows
     nodes = rows if plain else common.cut(rows.filter("text is not null").groupBy("copy").agg(F.first("text").alias("text")).select(F.col("copy").alias("doc_id"), "text"), "class-texts")
     linked = common.cut(jaccard_components(nodes, k, percent).filter("component_id <> doc_id").select("doc_id", "component_id"), "class-links")
     members = linked.unionAll(linked.select("component_id", "component_id").distinct())
@@ -222,7 +272,7 @@ def text_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "
 
 def distinct_ids(docs: DataFrame, doc_id: str = "doc_id") -> bool:
     """Whether every row has an id of its own."""
-    return docs.groupBy(F.col(f"`{doc_id}`").alias("id")).count().filter("count > 1 or id is null").isEmpty()
+    return docs.groupBy(common.col(doc_id).alias("id")).count().filter("count > 1 or id is null").isEmpty()
 
 
 def _labels(checked: DataFrame) -> DataFrame:

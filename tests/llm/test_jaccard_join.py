@@ -72,6 +72,38 @@ def test_common_passage_and_chain(spark):
     assert {got[100 + i][1] for i in range(40)} == {100}
 
 
+def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
+    """A third of the texts share most of one passage but link only in small groups: buckets with many documents beside the head's."""
+    rng = random.Random(12)
+    shared = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        own = [f"own{i}x{j}" for j in range(rng.randint(12, 30))]
+        for j in range(rng.randint(1, 3)):
+            words = [*shared, *own]
+            words[j] = f"edit{i}{j}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(50))) for i in range(80)]
+    plain = check(spark, rows, 4, 70)
+    monkeypatch.setattr(jj, "SPLIT", 2)
+    assert check(spark, rows, 4, 70) == plain
+    assert len({c for _, c in plain.values()}) < len(rows)
+
+
+def test_ids_of_text(spark, corpus):
+    rows = [(i, t) for i, t, *_ in corpus if i is not None]
+    df = spark.createDataFrame([(f"id{i:05d}", t) for i, t in rows] + [(None, "no id here")], "name string, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(df, 4, 85, doc_id="name").collect()}
+    want = {f"id{i:05d}": (n, f"id{c:05d}") for i, (n, c) in brute(rows, 4, 85).items()}
+    assert got == want | {None: (1, None)}
+
+
+def test_the_sketch_grows_with_the_corpus():
+    assert jj.sketch_bits(0) == jj.MIN_SKETCH_BITS
+    assert jj.sketch_bits(jj.BYTES_A_COUNTER << 22) == 23
+    assert jj.sketch_bits(1 << 50) == jj.MAX_SKETCH_BITS
+
+
 def test_odd_rows(spark, docs, corpus, empty):
     got = jj.jaccard_components(docs.withColumns({"n": F.lit(1), "token": F.lit("x"), "digest": F.lit("y")}), 4, 85)
     rows = {r["doc_id"]: r for r in got.collect()}
