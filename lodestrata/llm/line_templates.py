@@ -14,7 +14,8 @@ field or template too, and the first class that has a template keeps its lines i
 all lose a line or all keep it.
 
 Text moves once, with the lists of lines to drop. All else that is shuffled are hashes, folded
-before they move: a line that a third of all documents hold is one row a task.
+before they move: a line that a third of all documents hold is one row a task. Joins on a line that many documents share move
+single rows: beyond the sizes that are broadcast, adaptive execution (Spark's default) splits them.
 """
 
 from __future__ import annotations
@@ -66,12 +67,12 @@ def _enough(rows: DataFrame, key: str, min_docs: int, first: Column | None = Non
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", classes: DataFrame | None = None, long_words: int | None = None) -> DataFrame:
-    """(doc_id, copy, line) of the lines to drop, each once, copy and line as hashes: see drop_recurring_lines. Without classes, copy is left out."""
-    words = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), common.text_key(text).alias("copy"), F.explode(_lines(F.col(f"`{text}`"))).alias("raw"))
+    """(doc_id, copy, at) of the lines to drop, each once; copy is the hash of the text, at the line's place in it: see drop_recurring_lines."""
+    words = docs.select(common.col(doc_id).alias("doc_id"), common.text_key(text).alias("copy"), F.posexplode(_lines(common.col(text))).alias("at", "raw"))
     words = words.filter(F.col("raw") != "").withColumn("m", masked(F.col("raw")))
-    keyed = words.select("doc_id", "copy", F.xxhash64("m").alias("line"), _leaf(F.col("m")).alias("leaf"))
+    keyed = words.select("doc_id", "copy", "at", F.xxhash64("m").alias("line"), _leaf(F.col("m")).alias("leaf"))
     if classes is not None:
-        keyed = keyed.join(_few(classes), "copy", "left").select("doc_id", "copy", "line", "leaf", F.coalesce("class", "copy").alias("class"))
+        keyed = keyed.join(_few(classes), "copy", "left").select("doc_id", "copy", "at", "line", "leaf", F.coalesce("class", "copy").alias("class"))
     keyed = common.cut(keyed, "line-keys")
 
     if classes is None:
@@ -113,29 +114,30 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80, doc_i
         F.max((fixed & (F.col("token") != "<*>") & (F.col("token") != "")).cast("int")).alias("some"),
         F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("template"),
     )
-    shape = shape.filter((F.col("n_fixed") * 100 >= F.col("n") * percent) & (F.col("some") == 1)).select("line", *more, F.xxhash64("leaf", F.col("template.word")).alias("template"))
+    shape = shape.filter((F.col("n_fixed") * 100 >= F.col("n") * percent) & (F.col("some") == 1)).select("line", "leaf", *more, F.xxhash64("leaf", F.col("template.word")).alias("template"))
     shape = common.cut(shape, "line-templates")
     recurring = _enough(shape, "template", min_docs, F.col("first")).select("template", "keeper")
     # Cut, so that a join on a template that many lines share may be split.
     recurring = common.cut(recurring, "line-recurring")
-    lines = common.cut(shape.select("line", "template").join(recurring, "template").select("line", "keeper"), "line-drops")
+    # A line is known by two hashes, its own and its leaf's.
+    lines = common.cut(shape.select("line", "leaf", "template").join(recurring, "template").select("line", "leaf", "keeper"), "line-drops")
+    found = keyed.join(_few(lines), ["line", "leaf"])
     if classes is None:
-        drops = keyed.select("doc_id", "line").join(_few(lines), "line").filter(F.col("doc_id") != F.col("keeper"))
-        return drops.select("doc_id", "line").distinct()
-    drops = keyed.join(_few(lines), "line").filter(F.col("class") != F.col("keeper.class")).select("doc_id", "copy", "line")
+        return found.filter(F.col("doc_id") != F.col("keeper")).select("doc_id", "copy", "at").distinct()
+    drops = found.filter(F.col("class") != F.col("keeper.class")).select("doc_id", "copy", "at")
     if long_words is not None:
         drops = drops.unionAll(_long_drops(words, classes, long_words))
     return drops.distinct()
 
 
 def _long_drops(words: DataFrame, classes: DataFrame, long_words: int) -> DataFrame:
-    """(doc_id, copy, line) of the lines of long_words words or more that an earlier class has word for word, digits included."""
-    long = words.filter(_is_long(F.col("raw"), long_words)).select("doc_id", "copy", _exact(F.col("raw")).alias("line"))
-    long = common.cut(long.join(_few(classes), "copy", "left").select("doc_id", "copy", "line", F.coalesce("class", "copy").alias("class")), "long-lines")
-    folded = long.groupBy("line", "class").agg(F.min("doc_id").alias("first"))
-    shared = folded.groupBy("line").agg(F.count("*").alias("support"), F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "class")).alias("keeper"))
-    shared = common.cut(shared.filter("support > 1").select("line", "keeper"), "long-shared")
-    return long.join(_few(shared), "line").filter(F.col("class") != F.col("keeper.class")).select("doc_id", "copy", "line")
+    """(doc_id, copy, at) of the lines of long_words words or more that an earlier class has word for word, digits included."""
+    long = words.filter(_is_long(F.col("raw"), long_words)).select("doc_id", "copy", "at", _exact(F.col("raw")).alias("line"), F.xxhash64("raw").alias("check"))
+    long = common.cut(long.join(_few(classes), "copy", "left").select("doc_id", "copy", "at", "line", "check", F.coalesce("class", "copy").alias("class")), "long-lines")
+    folded = long.groupBy("line", "check", "class").agg(F.min("doc_id").alias("first"))
+    shared = folded.groupBy("line", "check").agg(F.count("*").alias("support"), F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "class")).alias("keeper"))
+    shared = common.cut(shared.filter("support > 1").select("line", "check", "keeper"), "long-shared")
+    return long.join(_few(shared), ["line", "check"]).filter(F.col("class") != F.col("keeper.class")).select("doc_id", "copy", "at")
 
 
 def _is_long(line: Column, long_words: int) -> Column:
@@ -152,8 +154,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80,
 
     Lines end at line feeds; empty ones stay. A document of which all lines are dropped has an empty text; one with nothing to
     drop is unchanged. Null text stays null, with 0 lines. The first document of a template is the one with the smallest id;
-    null ids count as documents but lose no line. Rows that share an id share its lines to drop; repeated rows stay. An empty table gives an empty result;
-    columns named n_lines and n_dropped are replaced.
+    null ids count as documents but lose no line. Repeated rows stay and lose the same lines. An empty table gives an empty result;
+    columns named n_lines and n_dropped, in any case, are replaced, all others stay as they are.
 
     With classes (copy, class: jaccard_join.text_classes) the first class is that with the smallest id, and keeps the lines in all its rows;
     each row is judged by its own text, whether or not its id is null or repeats. With long_words too, a line of so many words or more goes
@@ -162,20 +164,20 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80,
     if long_words is not None and classes is None:
         raise ValueError("long_words needs classes")
     drops = recurring_lines(docs, min_docs, percent, doc_id, text, classes, long_words)
-    keys = [c for c in drops.columns if c != "line"]
-    lists = drops.groupBy(*keys).agg(F.collect_list("line").alias("__lines")).select(F.col("doc_id").alias("__id"), *[F.col(c).alias("__copy") for c in keys[1:]], "__lines")
-    lists = common.cut(lists, "line-lists")
-    same = F.col(f"`{doc_id}`") == F.col("__id") if classes is None else F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (common.text_key(text) == F.col("__copy"))
+    other_id, other_copy, copy, places, split = common.helpers(docs, "other_id", "other_copy", "copy", "places", "split")
+    lists = drops.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("at")).alias(places))
+    lists = common.cut(lists.select(F.col("doc_id").alias(other_id), F.col("copy").alias(other_copy), places), "line-lists")
+    order = common.others(docs, "n_lines", "n_dropped")
+    mine = docs.select(*[common.col(c) for c in order], common.text_key(text).alias(copy))
     # The lists grow with the corpus: they are merged at every size, rather than broadcast while they happen to be small.
-    joined = docs.join(lists.hint("merge"), same, "left")
-    lines = _lines(F.col(f"`{text}`"))
-    gone = lambda x: F.array_contains(F.col("__lines"), F.xxhash64(masked(x)))
-    either = gone if long_words is None else lambda x: gone(x) | F.array_contains(F.col("__lines"), _exact(x))
-    left = F.filter(lines, lambda x: (x == "") | ~either(x))
-    some = F.col("__lines").isNotNull()
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(f"`{text}`").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text)]
-    out = joined.select(*[F.col(f"`{c}`") for c in keep], F.when(some, F.array_join(left, "\n")).otherwise(F.col(f"`{text}`")).alias(text), n_lines.alias("n_lines"), F.when(some, n_lines - F.size(left)).otherwise(F.lit(0)).cast("long").alias("n_dropped"))
-    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.col(f"`{c}`") for c in order], "n_lines", "n_dropped")
+    joined = mine.join(lists.hint("merge"), common.col(doc_id).eqNullSafe(F.col(other_id)) & (F.col(copy) == F.col(other_copy)), "left")
+    # A column of its own, so that the lambda below does not split the text anew for each run.
+    joined = joined.withColumn(split, _lines(common.col(text)))
+    whole, gone, lines = common.col(text), F.col(places), F.col(split)
+    # What stays are the runs between dropped places: a document's work grows with its lines, however many of them go.
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(gone, i - 1) + 1)
+    end = lambda i: F.when(i == F.size(gone), F.size(lines)).otherwise(F.get(gone, i))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, start(i) + 1, end(i) - start(i))))
+    n_lines = F.when(whole.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    shown = {c: F.when(gone.isNotNull(), F.array_join(left, "\n")).otherwise(whole).alias(c) if c.lower() == text.lower() else common.col(c) for c in order}
+    return joined.select(*shown.values(), n_lines.alias("n_lines"), F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"))

@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 from pyspark.sql import functions as F
@@ -72,3 +73,32 @@ def test_long_lines_go_from_a_second_class(spark):
     near = docs.filter("doc_id < 2").select(lt.common.text_key("text").alias("copy"), F.lit(0).cast("long").alias("class"))
     got = {r["doc_id"]: r["n_dropped"] for r in lt.drop_recurring_lines(docs, classes=near, long_words=50).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 4: 0, 5: 0, 6: 0, 7: 0, None: 1}
+
+
+def test_runs_between_dropped_lines(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):
+        lines = [rng.choice(["", f"own {'abcdefghijkl'[i]} {'xyz'[j % 3]}{'uvw'[j % 2]} line", "the very same five words", "", "7"]) for j in range(rng.randint(1, 12))]
+        rows.append((i, "\n".join(lines)))
+    got = cleaned(lt.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    first = min(i for i, t in rows if "the very same five words" in t.split("\n"))
+    for i, t in rows:
+        kept = [x for x in t.split("\n") if i == first or x != "the very same five words"]
+        assert (got[i]["text"], got[i]["n_dropped"], got[i]["n_lines"]) == ("\n".join(kept), len(t.split("\n")) - len(kept), len(t.split("\n")))
+
+
+def test_work_grows_with_the_lines_of_a_document(spark):
+    import time
+
+    def seconds(n):
+        rows = [(i, "\n".join(f"line {'abcdefghij'[j % 10]}{'abcdefghij'[j // 10 % 10]}{'abcdefghij'[j // 100 % 10]} of the page" for j in range(n))) for i in range(2)]
+        rows += [(10 + i, "\n".join(f"line {'abcdefghij'[j % 10]}{'abcdefghij'[j // 10 % 10]}{'abcdefghij'[j // 100 % 10]} of the page" for j in range(1000)) + f"\n{'x' * i}") for i in range(6)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+        df.count()
+        start = time.perf_counter()
+        assert lt.drop_recurring_lines(df).agg(F.sum("n_dropped")).first()[0] == n + 6000
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(64000) < 2 * seconds(32000) + 2
