@@ -18,18 +18,30 @@ LONG_LINE_WORDS = 50
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or that resemble none of the learnt languages, go."""
-    model = language_id.fit(docs.filter(common.crc32_mod(F.col("doc_id"), 3) != 1))
-    predicted = language_id.predict(docs, model)
-    kept = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return predicted.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents with a language; those without a letter, or that resemble none of the learnt languages, go.
+
+    Where no document names a language nothing can be learnt, and all documents with a letter stay.
+    """
+    held_out = F.coalesce(common.crc32_mod(F.col("doc_id"), 3) == 1, F.lit(True))
+    model = language_id.fit(docs.filter(~held_out))
+    if model is None:
+        return docs.filter(language_id.has_letter(F.col("text")))
+    lang, score = common.helpers(docs, "lang_pred", "score")
+    predicted = language_id.predict(docs, model, lang_pred=lang, score=score)
+    kept = (F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)
+    return predicted.filter(kept).select(*[common.col(c) for c in docs.columns])
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines whose template recurs in texts that are not near copies, and long lines that any other has; n_chars follows the text."""
+    # Columns of docs with the operator's names are not its own.
+    if clash := [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]:
+        names = dict(zip(clash, common.helpers(docs, *["own"] * len(clash)), strict=True))
+        back = drop_boilerplate(spark, docs.withColumnsRenamed(names), sf_dir)
+        return back.withColumnsRenamed({new: old for old, new in names.items()})
     classes = common.cut_alone(lambda: jaccard_join.text_classes(docs, k=5, percent=80), "pipeline-classes")
     cleaned = line_templates.drop_recurring_lines(docs, classes=classes, long_words=LONG_LINE_WORDS)
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    columns = {c: common.col(c) for c in docs.columns}
     columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(*[columns[c].alias(c) for c in docs.columns])
 
@@ -41,23 +53,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     if not jaccard_join.distinct_ids(docs):
         return _one_of_each_class(docs)
+    (gone_id,) = common.helpers(docs, "gone")
     grouped = common.cut(jaccard_join.jaccard_components(docs, k=5, percent=80), "pipeline-groups")
-    gone = common.cut(grouped.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")), "pipeline-gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = common.cut(grouped.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)), "pipeline-gone")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def _one_of_each_class(docs: DataFrame) -> DataFrame:
     classes = common.cut_alone(lambda: jaccard_join.text_classes(docs, k=5, percent=80), "pipeline-classes")
-    rows = docs.withColumn("__copy", common.text_key("text"))
+    copy, other_id, other_copy = common.helpers(docs, "copy", "other_id", "other_copy")
+    rows = docs.withColumn(copy, common.text_key("text"))
     # Texts without words link with nothing, not even their like.
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = rows.filter(~blank).select("doc_id", "__copy").join(classes, F.col("__copy") == F.col("copy"), "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__copy")).alias("first")
-    winners = worded.groupBy(F.coalesce("class", "__copy").alias("class")).agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.__copy").alias("__text"))
+    named = rows.filter(~blank).select("doc_id", F.col(copy).alias("own"))
+    worded = named.join(classes, F.col("own") == F.col("copy"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "own")).alias("first")
+    winners = worded.groupBy(F.coalesce("class", "own").alias("class")).agg(first).select(F.col("first.doc_id").alias(other_id), F.col("first.own").alias(other_copy))
     winners = common.cut(winners, "pipeline-winners")
-    kept = rows.filter(~blank).join(winners.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__text")), "left_semi")
-    known = kept.dropDuplicates(["doc_id", "__copy"]).unionAll(rows.filter(blank & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__copy"]))
-    return known.unionAll(rows.filter(blank & F.col("doc_id").isNull())).drop("__copy")
+    kept = rows.filter(~blank).join(winners.hint("merge"), F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(copy) == F.col(other_copy)), "left_semi")
+    known = kept.dropDuplicates(["doc_id", copy]).unionAll(rows.filter(blank & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", copy]))
+    return known.unionAll(rows.filter(blank & F.col("doc_id").isNull())).select(*[common.col(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,12 +94,13 @@ STAGES = [
     ("mixing", mix_domains),
 ]
 
-#: Learnt classifiers and fitted rates are beyond SQL; tests/llm holds the stages against brute force.
+#: Learnt classifiers and fitted rates are beyond SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages leave, with their rates; what a stage wrote on the way to its result is removed."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = common.cut_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
