@@ -11,7 +11,8 @@ only add candidates.
 A candidate document is then held against the item exactly: the item's distinct shingles that occur
 anywhere in the whole document, compared as words.
 
-Items are searched in blocks of bounded size; only a block's signatures are broadcast. Documents never move.
+One pass over the documents, which hashes each text once, searches all items up to ITEMS_AT_ONCE and CHARS_AT_ONCE, which bound what is
+broadcast; a larger set of items takes a pass for each block of so many. Documents never move.
 """
 
 from __future__ import annotations
@@ -25,20 +26,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from lodestrata.llm import shingles
+from lodestrata.llm import common, shingles
 
 #: The chance at most that a contained item shares no MinHash with its window.
 MISS = 1e-6
 #: Shingles whose minima are taken first; windows are runs of such blocks.
 BLOCK = 8
-#: What is broadcast at once: items and their characters.
-ITEMS_AT_ONCE = 20_000
-CHARS_AT_ONCE = 8 << 20
+#: What is broadcast at once: items and their characters (some four bytes of index for each).
+ITEMS_AT_ONCE = 100_000
+CHARS_AT_ONCE = 32 << 20
+#: Items whose words a worker holds as a set, once they have been candidates.
+WORD_SETS = 4096
 #: Bytes of text that a task hashes at once (a longer text is hashed alone).
 SLICE_BYTES = 4 << 20
-HITS = "doc_id long, item_id long, containment double, shared long, n_item long"
-
 _SPACED = bytes(32 if shingles.BY_PUNCTUATION.parts[c] else int(shingles.BY_PUNCTUATION.folded[c]) for c in range(256))
 
 
@@ -70,22 +73,22 @@ def _size_bounds(largest: int) -> list[int]:
 class ItemIndex:
     """A block of items: their words' shingles, and the MinHash minima of each size class."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int, percent: int, seed: int = 11):
+    def __init__(self, ids: list, texts: list[str], k: int, percent: int, seed: int = 11):
         self.ids, self.k, self.percent = ids, k, percent
         raw, bounds = _lowered(pa.array(texts, pa.string()))
         hashes, at = shingles.word_hashes(raw, bounds, shingles.BY_PUNCTUATION)
         everything = shingles.shingle_hashes(hashes, k)
         self.shingles: list[np.ndarray] = []
-        self.words: list[set] = []
+        self.texts: list[bytes] = []
+        self._words: dict[int, set] = {}
         self.short: dict[tuple, list[int]] = {}
         spans: list[int] = []
         for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            w = _words(raw[bounds[i] : bounds[i + 1]].tobytes())
+            self.texts.append(raw[bounds[i] : bounds[i + 1]].tobytes())
             self.shingles.append(np.unique(everything[s : max(s, e - k + 1)]))
-            self.words.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)})
             spans.append(max(0, e - s - k + 1))
-            if 0 < len(w) < k:
-                self.short.setdefault(tuple(w), []).append(i)
+            if 0 < e - s < k:
+                self.short.setdefault(tuple(_words(self.texts[i])), []).append(i)
         self.functions: list[tuple[np.uint32, np.uint32]] = []
         self.parts: list[Part] = []
         rng = np.random.default_rng(seed)
@@ -110,9 +113,18 @@ class ItemIndex:
                 order = np.argsort(values, kind="stable")
                 seen = np.zeros(1 << 16, bool)
                 seen[values >> np.uint32(16)] = True
-                minima.append((values[order], np.array(members)[order], seen))
+                minima.append((values[order], np.array(members, np.int32)[order], seen))
             self.parts.append(Part(step, width, minima))
 
+    def words(self, item: int) -> set:
+        """The item's distinct shingles as words."""
+        if item not in self._words:
+            if len(self._words) >= WORD_SETS:
+                self._words.clear()
+            w = _words(self.texts[item])
+            self._words[item] = {tuple(w[j : j + self.k]) for j in range(len(w) - self.k + 1)}
+        return self._words[item]
+
     def candidates(self, stream: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(first, end, item): places of a stream of shingle hashes whose window shares a minimum with an item."""
         n = len(stream)
@@ -133,8 +145,11 @@ class ItemIndex:
                     continue
                 values, items, seen = part.minima[f]
                 lows = _window_minima(spans, part.width)[:: part.step]
-                for at in np.flatnonzero(seen[lows >> np.uint32(16)]).tolist():
-                    s, e = np.searchsorted(values, lows[at], "left"), np.searchsorted(values, lows[at], "right")
+                maybe = np.flatnonzero(seen[lows >> np.uint32(16)])
+                first = np.searchsorted(values, lows[maybe], "left")
+                same = values[np.minimum(first, len(values) - 1)] == lows[maybe]
+                for at, s in zip(maybe[same].tolist(), first[same].tolist(), strict=True):
+                    e = int(np.searchsorted(values, values[s], "right"))
                     for item in items[s:e].tolist():
                         found.add((at * part.step * BLOCK, (at * part.step + part.width) * BLOCK, item))
         yield from found
@@ -196,20 +211,21 @@ def _hits(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int]]
                 continue
             if row != last:
                 words, last = _words(raw[bounds[i + row] : bounds[i + row + 1]].tobytes()), row
-            n = len({t for x in same.tolist() if (t := tuple(words[x : x + k])) in index.words[item]})
-            if 100 * n >= index.percent * len(index.words[item]):
-                hits.append((i + row, item, n, len(index.words[item])))
+            n = len({t for x in same.tolist() if (t := tuple(words[x : x + k])) in index.words(item)})
+            if 100 * n >= index.percent * len(index.words(item)):
+                hits.append((i + row, item, n, len(index.words(item))))
     return hits
 
 
-def _search(shared_index):
+def _search(shared_index, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared_index.value
         for b in batches:
             if hits := _hits(index, b.column("text")):
                 rows, items, shared, sizes = (np.array(x) for x in zip(*hits, strict=True))
                 ids = b.column("doc_id").take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(index.ids)[items]), pa.array(shared / sizes), pa.array(shared), pa.array(sizes)], ["doc_id", "item_id", "containment", "shared", "n_item"])
+                found = pa.array([index.ids[i] for i in items], item_type)
+                yield pa.RecordBatch.from_arrays([ids, found, pa.array(shared / sizes), pa.array(shared), pa.array(sizes)], ["doc_id", "item_id", "containment", "shared", "n_item"])
 
     return run
 
@@ -224,8 +240,8 @@ def _without(shared_index, text: str):
     return run
 
 
-def _item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    ids: list[int] = []
+def _item_blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
+    ids: list = []
     texts: list[str] = []
     chars = 0
     for r in items.toLocalIterator():
@@ -246,17 +262,19 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     words. An item of fewer than k words is contained only in a document of exactly these words; an item or document without
     words (or null) in and of nothing. Items with a null id are left out, as their hits could not be named: decontaminate() searches them too. Repeated rows give repeated rows; empty tables an empty result.
     Windows find an item whose shingles lie together; those of one that is scattered over a document in pieces are
-    found if a window holds enough of them.
+    found if a window holds enough of them. Ids may be of any type, which the result has too.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    wanted = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null")
+    texts = docs.select(common.col(doc_id).alias("doc_id"), F.coalesce(common.col(text), F.lit("")).alias("text"))
+    wanted = items.select(common.col(item_id).alias("item_id"), common.col(item_text).alias("text")).filter("item_id is not null")
+    kind = wanted.schema["item_id"].dataType
+    result = StructType().add("doc_id", texts.schema["doc_id"].dataType).add("item_id", kind).add("containment", "double").add("shared", "long").add("n_item", "long")
     found = None
     for ids, block in _item_blocks(wanted):
         index = spark.sparkContext.broadcast(ItemIndex(ids, block, k, percent))
-        hits = texts.mapInArrow(_search(index), HITS)
+        hits = texts.mapInArrow(_search(index, to_arrow_type(kind)), result)
         found = hits if found is None else found.unionAll(hits)
-    return found if found is not None else spark.createDataFrame([], HITS)
+    return found if found is not None else spark.createDataFrame([], result)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -264,7 +282,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
 
     Rows go by their own text, whatever their ids, and so do items: one with a null id counts like any other. Each block of items is one more step of the same pass: nothing is shuffled.
     """
-    wanted = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
+    wanted = items.select(common.col(item_id).alias("item_id"), common.col(item_text).alias("text"))
     for ids, block in _item_blocks(wanted):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(ids, block, k, percent))
         docs = docs.mapInArrow(_without(index, text), docs.schema)

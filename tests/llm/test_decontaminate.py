@@ -90,3 +90,18 @@ def test_an_item_without_an_id_counts(spark):
     items = spark.createDataFrame([(None, "a nameless item text of seven words")], ITEMS)
     assert [r["doc_id"] for r in dec.decontaminate(docs, items).collect()] == [2]
     assert dec.contained_items(docs, items).count() == 0
+
+
+def test_ids_of_text_and_clashing_columns(spark, case):
+    docs, items = case
+    d = spark.createDataFrame([(None if i is None else f"d{i}", t) for i, t in docs], "name string, text string").withColumnsRenamed({"text": "doc_id"})
+    i = spark.createDataFrame([(None if i is None else f"i{i}", t) for i, t in items], "item_id string, text string")
+    got = sorted((r["doc_id"] or "", r["item_id"], r["shared"]) for r in dec.contained_items(d, i, doc_id="name", text="doc_id").collect())
+    assert got == sorted((f"d{d}" if d is not None else "", f"i{i}", n) for _, d, i, n, _ in brute(docs, [x for x in items if x[0] is not None]))
+
+
+def test_all_items_are_searched_in_one_pass(spark, case):
+    docs, items = case
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plan = dec.contained_items(df, spark.createDataFrame(items * 40, ITEMS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
