@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.sources.shared import fresh_path, shared_dir
 
-__all__ = ["col", "crc32_mod", "cut", "cut_alone", "fresh_path", "hashed_rows", "hashed_sample", "helpers", "others", "purge", "shared_dir", "table", "text_key"]
+__all__ = ["col", "crc32_mod", "cut", "cut_alone", "fresh_path", "hashed_rows", "hashed_sample", "helpers", "others", "purge", "release", "shared_dir", "table", "text_key", "tidy"]
 
 _written = threading.local()
 
@@ -33,7 +33,23 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     for paths in getattr(_written, "stack", []):
         paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def release(*done: DataFrame) -> None:
+    """Removes the files of cut() results that nothing will read again."""
+    for df in done:
+        _delete(df.sparkSession, df._cut_at)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark removes the shuffle files of finished queries.
+
+    A large heap may put that off until the executors' disks are full.
+    """
+    spark._jvm.System.gc()
 
 
 def cut_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
@@ -45,6 +61,7 @@ def cut_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
         *_written.stack, paths = _written.stack
     for path in paths[:-1]:
         _delete(out.sparkSession, path)
+    tidy(out.sparkSession)
     return out
 
 

@@ -31,9 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large-star")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.cut(large, "large-edges")
-        least = common.cut(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        star = common.cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        fewest = common.cut(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        small = large.join(fewest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        before, star = star, common.cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        common.release(before, least, large, fewest)
         now = _print(star)
         if now == seen:
             leaves = star.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -206,11 +206,18 @@ def _components(texts: DataFrame, k: int, percent: int, words: shingles.Words) -
     filled = signed.filter("n > 0 and doc_id is not null")
     folded = common.cut(filled.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = signed.filter("n > 0").join(folded.select(F.col("rep").alias("doc_id"), "digest", "n"), ["doc_id", "digest", "n"], "left_semi")
-    every = common.cut(reps.select(F.col("doc_id").alias("doc"), "n", "o1"), "jaccard-sets").select("doc", "n", F.posexplode("o1").alias("at", "token"))
-    # A token that many documents share folds before the shuffle, and the join that follows moves single rows, so that Spark may split it.
-    heads = every.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("at", "doc", "n")).alias("head")).filter("m > 1")
-    heads = common.cut(heads.select("token", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at")), "jaccard-heads")
-    tokens = common.cut(every.join(heads.hint("merge"), "token"), "jaccard-buckets")
+    sets = common.cut(reps.select(F.col("doc_id").alias("doc"), "n", "o1"), "jaccard-sets")
+    every = sets.select("doc", "n", F.posexplode("o1").alias("at", "token"))
+    # Most tokens are of one document. Of the rest, a bucket folds to its head before the shuffle; the joins move single rows, so that Spark may split them.
+    shared = common.cut(every.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "jaccard-shared")
+    common.tidy(spark)
+    buckets = common.cut(every.join(shared.hint("merge"), "token", "left_semi"), "jaccard-buckets")
+    common.release(sets, shared)
+    heads = common.cut(buckets.groupBy("token").agg(F.min(F.struct("at", "doc", "n")).alias("head")), "jaccard-heads")
+    named = heads.select("token", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at"))
+    tokens = common.cut(buckets.join(named.hint("merge"), "token"), "jaccard-tokens")
+    common.release(buckets, heads)
+    common.tidy(spark)
 
     star = tokens.filter((F.col("doc") != F.col("head")) & _reaches(F.col("n"), F.col("at"), F.col("head_n"), F.col("head_at"), percent))
     star = star.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
@@ -223,10 +230,15 @@ def _components(texts: DataFrame, k: int, percent: int, words: shingles.Words) -
         return joined.withColumn(name, F.coalesce("__c", node)).drop("__c")
 
     marked = common.cut(labelled(labelled(tokens, "doc", "c"), "head", "head_c"), "jaccard-marked")
+    common.release(tokens)
+    common.tidy(spark)
     rest = _rest(marked, signed, percent)
     rest = rest.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = _check(rest, signed, texts, k, percent, words)
+    common.release(marked)
     final = common.cut(_labels(checked.unionAll(more)), "jaccard-components")
+    common.release(checked, more)
+    common.tidy(spark)
 
     named = folded.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     named = common.cut(named, "jaccard-named")
@@ -289,4 +301,6 @@ def _check(pairs: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percen
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = passed.join(text("b"), "b").join(text("a"), "a").select("a", "text_a", "b", "text_b")
     found = both.mapInArrow(_verify(k, percent, words), "a long, b long, linked boolean")
-    return common.cut(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "jaccard-verified")
+    verified = common.cut(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "jaccard-verified")
+    common.release(pairs, passed)
+    return verified

@@ -163,10 +163,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80,
     """
     if long_words is not None and classes is None:
         raise ValueError("long_words needs classes")
-    drops = recurring_lines(docs, min_docs, percent, doc_id, text, classes, long_words)
     other_id, other_copy, copy, places, split = common.helpers(docs, "other_id", "other_copy", "copy", "places", "split")
-    lists = drops.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("at")).alias(places))
-    lists = common.cut(lists.select(F.col("doc_id").alias(other_id), F.col("copy").alias(other_copy), places), "line-lists")
+
+    def listed() -> DataFrame:
+        drops = recurring_lines(docs, min_docs, percent, doc_id, text, classes, long_words)
+        lists = drops.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("at")).alias(places))
+        return lists.select(F.col("doc_id").alias(other_id), F.col("copy").alias(other_copy), places)
+
+    lists = common.cut_alone(listed, "line-lists")
     order = common.others(docs, "n_lines", "n_dropped")
     mine = docs.select(*[common.col(c) for c in order], common.text_key(text).alias(copy))
     # The lists grow with the corpus: they are merged at every size, rather than broadcast while they happen to be small.
