@@ -54,8 +54,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not jaccard_join.distinct_ids(docs):
         return _one_of_each_class(docs)
     (gone_id,) = common.helpers(docs, "gone")
-    grouped = common.cut(jaccard_join.jaccard_components(docs, k=5, percent=80), "pipeline-groups")
-    gone = common.cut(grouped.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)), "pipeline-gone")
+    grouped = lambda: jaccard_join.jaccard_components(docs, k=5, percent=80)
+    gone = common.cut_alone(lambda: grouped().filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)), "pipeline-gone")
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
@@ -82,7 +82,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate at which to take each, so that expected tokens meet the targets; those of rate 0 go."""
-    rates = mixing.mix(docs, queries.domain_labels(spark, sf_dir), queries.MIX_TARGETS)
+    rates = common.cut_alone(lambda: mixing.mix(docs, queries.domain_labels(spark, sf_dir), queries.MIX_TARGETS), "pipeline-rates")
     return mixing.apply_rates(docs, rates)
 
 
