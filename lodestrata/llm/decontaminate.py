@@ -40,8 +40,6 @@ ITEMS_AT_ONCE = 100_000
 CHARS_AT_ONCE = 32 << 20
 #: Items whose words a worker holds as a set, once they have been candidates.
 WORD_SETS = 4096
-#: Bytes of text that a task hashes at once (a longer text is hashed alone).
-SLICE_BYTES = 4 << 20
 _SPACED = bytes(32 if shingles.BY_PUNCTUATION.parts[c] else int(shingles.BY_PUNCTUATION.folded[c]) for c in range(256))
 
 
@@ -174,20 +172,12 @@ def _window_minima(spans: dict[int, np.ndarray], width: int) -> np.ndarray:
     return y
 
 
-def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-    i, n = 0, len(bounds) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE_BYTES, "right")) - 1)
-        yield i, j
-        i = j
-
-
 def _hits(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int]]:
     """(row, item, shared, n_item) of every text of the column that contains an item."""
     k = index.k
     raw, bounds = _lowered(column)
     hits: list[tuple[int, int, int, int]] = []
-    for i, j in _slices(bounds):
+    for i, j in shingles.row_slices(bounds):
         hashes, at = shingles.word_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingles.BY_PUNCTUATION)
         stream = shingles.shingle_hashes(hashes, k)
         pairs: set[tuple[int, int]] = set()

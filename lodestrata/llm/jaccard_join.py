@@ -40,8 +40,8 @@ from lodestrata.llm.components import connected_components
 
 #: The sketch: a counter for every BYTES_A_COUNTER of text, from 2^MIN_SKETCH_BITS to 2^MAX_SKETCH_BITS of them, moved in blocks. The upper end
 #: bounds what is broadcast (a byte each) and what a task counts in (four bytes each).
-MIN_SKETCH_BITS, MAX_SKETCH_BITS = 20, 25
-BYTES_A_COUNTER = 64
+MIN_SKETCH_BITS, MAX_SKETCH_BITS = 20, 24
+BYTES_A_COUNTER = 256
 BLOCK = 1 << 15
 #: Counting tasks for each core of the cluster: each sends one sketch, however many files it reads.
 COUNTS_A_CORE = 4
@@ -157,7 +157,7 @@ def _verify(k: int, percent: int, words: shingles.Words):
         ids, all_texts = batch.column(which).to_numpy(), batch.column(f"text_{which}").fill_null("")
         change = np.concatenate([[True], (ids[1:] != ids[:-1]) | pc.not_equal(all_texts[1:], all_texts[:-1]).to_numpy(zero_copy_only=False)])
         texts = all_texts.take(pa.array(np.flatnonzero(change)))
-        found = shingles.shingle_sets(*shingles.text_bytes(texts), k, words)
+        found = list(shingles.shingle_sets(*shingles.text_bytes(texts), k, words))
         return [found[i] for i in np.cumsum(change) - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,8 @@ once), mixed with the word's length; a shingle's is a polynomial over its words'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,6 +15,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 #: Bytes that are hashed together: small enough for the processor's cache.
 CHUNK_BYTES = 1 << 18
+#: Bytes of text whose shingles are in memory together.
+SLICE_BYTES = 4 << 20
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -125,15 +129,26 @@ def whole_hash(hashes: np.ndarray) -> np.uint64:
     return mix(shingle_hashes(hashes, len(hashes)) + np.uint64(len(hashes)))[0]
 
 
-def shingle_sets(raw: np.ndarray, bounds: np.ndarray, k: int, words: Words) -> list[np.ndarray]:
-    """Each row's sorted distinct shingle hashes; with fewer than k words the whole sequence is one; without any, none."""
-    hashes, at = word_hashes(raw, bounds, words)
-    all_of = shingle_hashes(hashes, k)
-    out = []
-    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if e - s >= k:
-            x = np.sort(all_of[s : e - k + 1])
-            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x)
-        else:
-            out.append(np.array([whole_hash(hashes[s:e])], np.uint64) if e > s else np.empty(0, np.uint64))
-    return out
+def row_slices(bounds: np.ndarray, n_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about n_bytes together; a longer row is one by itself."""
+    i, n = 0, len(bounds) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + n_bytes, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def shingle_sets(raw: np.ndarray, bounds: np.ndarray, k: int, words: Words) -> Iterator[np.ndarray]:
+    """Each row's sorted distinct shingle hashes; with fewer than k words the whole sequence is one; without any, none.
+
+    Rows are hashed a slice at a time, so that memory does not grow with the batch.
+    """
+    for i, j in row_slices(bounds):
+        hashes, at = word_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
+        all_of = shingle_hashes(hashes, k)
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if e - s >= k:
+                x = np.sort(all_of[s : e - k + 1])
+                yield x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x
+            else:
+                yield np.array([whole_hash(hashes[s:e])], np.uint64) if e > s else np.empty(0, np.uint64)
