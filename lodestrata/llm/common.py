@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.sources.shared import fresh_path, shared_dir
 
-__all__ = ["col", "crc32_mod", "cut", "cut_alone", "fresh_path", "hashed_rows", "hashed_sample", "helpers", "others", "purge", "release", "shared_dir", "table", "text_key", "tidy"]
+__all__ = ["col", "crc32_mod", "cut", "cut_alone", "fresh_path", "hashed_rows", "hashed_sample", "helpers", "others", "purge", "release", "shared_dir", "table", "text_key", "tidy", "with_text"]
 
 _written = threading.local()
 
@@ -97,6 +97,20 @@ def helpers(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_text(df: DataFrame, text: str, columns: list[str] | None, *replaced: str) -> tuple[DataFrame, DataFrame, int]:
+    """df's rows as a task is to read them, the part of them that it hands on, and the place of the text in the former.
+
+    Handed on are these columns, or all but those with the replaced names. The text comes last if it is not one of them, so that it moves once.
+    """
+    keep = others(df if columns is None else df.select(*[col(c) for c in columns]), *replaced)
+    mine = [col(c) for c in keep]
+    places = [i for i, c in enumerate(keep) if c.lower() == text.lower()]
+    if places:
+        return df.select(*mine), df.select(*mine), places[0]
+    (whole,) = helpers(df, "whole")
+    return df.select(*mine, col(text).alias(whole)), df.select(*mine), len(keep)
+
+
 def text_key(text: str) -> Column:
     """The hash that stands for a whole text."""
     return F.xxhash64(col(text), F.lit(0))

@@ -208,34 +208,33 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str = "
     return train([t.encode("utf-8") for t in got.column("text").to_pylist()], got.column("lang").to_pylist())
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with lang_pred and score, its mean probability over all bytes, as the last columns.
+def predict(docs: DataFrame, net: Network | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", columns: list[str] | None = None) -> DataFrame:
+    """docs, or these columns of it, with lang_pred and score, its mean probability over all bytes, as the last columns.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learnt. Of equally likely languages the first
     by name counts. Repeated rows get equal results, an empty table none; columns named lang_pred or score, in any case, are
     replaced, all others stay as they are.
     """
-    keep = common.others(docs, lang_pred, score)
-    mine = docs.select(*[common.col(c) for c in keep])
+    rows, mine, at = common.with_text(docs, text, columns, lang_pred, score)
     if net is None:
         return mine.withColumns({lang_pred: F.lit(UNDETERMINED), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    names = mine.columns
+    (flag,) = common.helpers(rows, "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array(model.labels, dtype=object)
+        labels = np.array(model.labels, dtype=object)
         for b in batches:
-            p = document_probabilities(model, b.column(len(keep)))
+            p = document_probabilities(model, b.column(at))
             best = p.argmax(1) if b.num_rows else np.empty(0, np.int64)
-            letters = b.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(bool)
-            pred = np.where(letters, names[best], UNDETERMINED)
+            letters = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            pred = np.where(letters, labels[best], UNDETERMINED)
             likely = np.where(letters, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(likely, pa.float64())], [*keep, lang_pred, score])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(pred, pa.string()), pa.array(likely, pa.float64())], [*names, lang_pred, score])
 
-    content = F.coalesce(common.col(text), F.lit(""))
-    whole, letters = common.helpers(docs, "whole", "letters")
-    rows = docs.select(*[common.col(c) for c in keep], content.alias(whole), has_letter(content).alias(letters))
-    return rows.mapInArrow(run, mine.schema.add(lang_pred, "string").add(score, "double"))
+    lettered = rows.withColumn(flag, has_letter(common.col(rows.columns[at])))
+    return lettered.mapInArrow(run, mine.schema.add(lang_pred, "string").add(score, "double"))
 
 
 def has_letter(text: Column) -> Column:

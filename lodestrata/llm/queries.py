@@ -35,7 +35,7 @@ def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The class prior, as published labels state it; single negatives are never trained on.
     toxic, every = labels.agg(F.sum(F.col("toxic").cast("long")), F.count("*")).first()
     model = toxicity.fit(docs.filter(~held_out), labels.filter("toxic = 1"), (toxic or 0) / max(every, 1))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(docs, model, columns=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
@@ -44,7 +44,7 @@ def op3_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(common.crc32_mod(F.col("doc_id"), 3) == 1, F.lit(True))
     model = language_id.fit(docs.filter(~held_out))
-    predicted = language_id.predict(docs.drop("lang"), model)
+    predicted = language_id.predict(docs, model, columns=["doc_id"])
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

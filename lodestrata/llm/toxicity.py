@@ -40,7 +40,6 @@ LEAST_SHARE = 0.002
 SIGNIFICANT = 4.0
 TABLE_BITS = 18
 PREFIXES = (4, 5)
-SLICE_BYTES = 4 << 20
 #: The fixed-point unit of sums over texts: 10^9 texts with values up to 64 stay below 2^63.
 UNIT = 1 << 24
 #: Different feature sets that one task of a step reads, by the number of texts.
@@ -49,11 +48,8 @@ TEXTS_A_TASK = 1 << 20
 
 def _text_slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     raw, bounds = shingles.text_bytes(pc.utf8_lower(column))
-    i, n = 0, len(bounds) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE_BYTES, "right")) - 1)
+    for i, j in shingles.row_slices(bounds):
         yield raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-        i = j
 
 
 def features(column: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,21 +249,19 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, doc_id: str = "doc_
     return Classifier(numbered(chosen[used]), weights[used], bias)
 
 
-def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) as the last column; null counts as empty and scores by the bias alone.
+def score(docs: DataFrame, classifier: Classifier, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """docs, or these columns of it, with score (0 to 1) as the last one; a null text counts as empty and scores by the bias alone.
 
     Repeated rows score alike; an empty table gives an empty one. Columns named score, in any case, are replaced; all others stay as
     they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    keep = common.others(docs, "score")
-    (content,) = common.helpers(docs, "content")
+    rows, mine, at = common.with_text(docs, text, columns, "score")
+    names = mine.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = shared.value.scores(b.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(scores)], [*keep, "score"])
+            scores = shared.value.scores(b.column(at).fill_null(""))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(scores)], [*names, "score"])
 
-    mine = docs.select(*[common.col(c) for c in keep])
-    rows = docs.select(*[common.col(c) for c in keep], F.coalesce(common.col(text), F.lit("")).alias(content))
     return rows.mapInArrow(run, mine.schema.add("score", "double"))

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -38,10 +42,43 @@ def test_blocks_of_queries_agree(spark):
     df = table(spark, m)
     queries = df.filter("vec_id % 10 = 0")
     one = sorted(map(tuple, ann.search(df, queries, k=5).collect()))
-    assert sorted(map(tuple, ann.search(df, queries, k=5, query_block=4).collect())) == one
+    # Blocks of four queries and segments of thirty vectors, in another order and other partitions; repeated queries count once.
+    again = df.orderBy(F.desc("vec_id")).repartition(7)
+    assert sorted(map(tuple, ann.search(again, queries.unionAll(queries), k=5, query_bytes=4 * 56, segment_bytes=30 * 56).collect())) == one
     assert len(one) == 150
 
 
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=[3, 5, 8][i % 3])]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id < 6"), k=4, rerank=20).collect()
+    for q in range(6):
+        v = np.array(rows[q][1])
+        want = sorted((-float(np.array(w) @ v), i) for i, w in rows if len(w) == len(v) and i != q)[:4]
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [i for _, i in mine] == [i for _, i in want]
+
+
+def test_memory_with_long_vectors():
+    """768 dimensions: a task's own memory stays below 300 MB, measured in a process that does one task's work."""
+    code = """
+import resource
+import numpy as np
+from lodestrata.llm import ann
+rng = np.random.default_rng(1)
+x = rng.normal(size=(ann.SEGMENT_BYTES // 6144, 768))
+q = ann.Quantiser.fit(x[:200], rounds=1)
+codes = q.pack(q.codes(x)).T.copy()
+queries = rng.normal(size=(ann.QUERY_BYTES // 6144, 768))
+for _ in ann._nearest(q, np.arange(len(queries)) + 10**6, queries, np.arange(len(x)), x, codes, 20, 200):
+    pass
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "OMP_NUM_THREADS": "1"})
+    assert int(out.stdout) < 300
+
+
 def test_ties_go_to_smaller_ids(spark):
     m = np.tile([1.0, 2.0, 0.5, 0.0], (400, 1))
     m[0] = [3.0, 1.0, 0.0, 0.0]

@@ -56,7 +56,10 @@ def test_every_byte_counts_once(net):
 
 
 def test_odd_rows(spark, docs, corpus, empty, net):
-    got = lid.predict(docs.withColumns({"lang_pred": F.lit("old"), "__text": F.lit("q")}).drop("__text"), net)
+    got = lid.predict(docs.withColumns({"lang_pred": F.lit("old"), "whole": F.lit("q"), "Letters": F.lit(1), "SCORE": F.lit(2)}), net)
+    assert got.columns == [*docs.columns, "whole", "Letters", "lang_pred", "score"]
+    assert {(r["whole"], r["Letters"]) for r in got.collect()} == {("q", 1)}
+    assert lid.predict(docs, net, columns=["doc_id"]).columns == ["doc_id", "lang_pred", "score"]
     rows = {r["doc_id"]: r for r in got.collect()}
     assert got.count() == len(corpus)
     assert all(rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0 for i in (300, 301, 302, 303))
@@ -65,3 +68,12 @@ def test_odd_rows(spark, docs, corpus, empty, net):
     assert lid.fit(empty) is None
     assert {r["lang_pred"] for r in lid.predict(docs, None).collect()} == {"und"}
     assert lid.fit(docs.filter("lang is null")) is None
+
+
+def test_order_and_partitions_change_nothing(spark, corpus, docs):
+    nets = []
+    for n in (1, 7):
+        rows = [r for r in corpus if r[0] is not None and r[0] < 60]
+        random.Random(n).shuffle(rows)
+        nets.append(lid.fit(spark.createDataFrame(rows, docs.schema).repartition(n)))
+    assert all((a == b).all() for a, b in zip(nets[0].params(), nets[1].params(), strict=True))
