@@ -9,7 +9,7 @@ are dropped from every document but the first that has one.
 
 The support of a line is the number of distinct texts that hold it: copies of a whole document count
 once, so that they are left to near-duplicate removal. Given the classes of texts that are near copies of each
-other (jaccard_join.text_classes), a class counts once wherever support is counted, over the different lines of a leaf,
+other (near_copies), a class counts once wherever support is counted, over the different lines of a leaf,
 field or template too, and the first class that has a template keeps its lines in all its documents: near copies
 all lose a line or all keep it.
 
@@ -20,15 +20,22 @@ single rows: beyond the sizes that are broadcast, adaptive execution (Spark's de
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import common
+from lodestrata.llm.components import connected_components
 
 #: Leading tokens of a leaf.
 DEPTH = 3
 #: Leaves are broadcast up to this many (eight bytes each, some tens of MB as a hash table), and beyond it joined by a shuffle.
 BROADCAST_LEAVES = 500_000
+#: A text's signature: the least shingle hash of each of so many bins; runs of BAND of them are what candidates share.
+BINS, BAND = 30, 3
+#: Words of a shingle, and the share of bins in which near copies agree.
+SHINGLE, AGREE = 5, 0.7
 
 
 def masked(line: Column) -> Column:
@@ -140,6 +147,38 @@ def _long_drops(words: DataFrame, classes: DataFrame, long_words: int) -> DataFr
     return long.join(_few(shared), ["line", "check"]).filter(F.col("class") != F.col("keeper.class")).select("doc_id", "copy", "at")
 
 
+def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(copy, class) of the texts that are near copies of others: common.text_key() and the smallest such key of the class.
+
+    Texts are compared by one-permutation MinHash of their SHINGLE-word shingles (a shorter text is one): each text is held against the first
+    that has the same BAND bins, and links with it if AGREE of the bins that either has are equal; classes are what links connect. Texts that
+    share 0.8 of their shingles miss each other with a chance of a few in a hundred for each such meeting. Null texts and those without words are in no class;
+    equal texts are one. What is grouped are rows of one text, or fold before they move.
+    """
+    words = F.filter(F.split(F.translate(F.lower(common.col(text)), "\n\t\r", "   "), " "), lambda w: w != "")
+    rows = docs.select(common.text_key(text).alias("copy"), words.alias("words"), common.col(text).alias("t")).filter("t is not null").drop("t")
+    # Word hashes are a column of their own, so that the lambda below does not make them anew for each shingle.
+    rows = rows.select("copy", F.transform("words", lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0)
+    runs = F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))
+    hashes = F.transform(runs, lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]))
+    each = rows.select("copy", F.explode(hashes).alias("h")).withColumn("bin", F.pmod("h", F.lit(BINS)))
+    signed = each.groupBy("copy").agg(*[F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"b{i}") for i in range(BINS)])
+    signed = common.cut(signed.select("copy", F.array(*[f"b{i}" for i in range(BINS)]).alias("bins")), "copies-signed")
+    common.tidy(docs.sparkSession)
+    bands = [F.when(F.exists(part, lambda x: x.isNotNull()), F.xxhash64(F.lit(i), part)) for i in range(0, BINS, BAND) for part in [F.slice("bins", i + 1, BAND)]]
+    keyed = signed.select("copy", F.explode(F.array(*bands)).alias("band")).filter("band is not null")
+    heads = keyed.groupBy("band").agg(F.min("copy").alias("head"), F.count("*").alias("m")).filter("m > 1").select("band", "head")
+    heads = common.cut(heads, "copies-heads")
+    pairs = common.cut(keyed.join(heads.hint("merge"), "band").filter("copy <> head").select("copy", "head").distinct(), "copies-pairs")
+    mine = lambda x: signed.select(F.col("copy").alias(x), F.col("bins").alias(f"{x}_bins"))
+    both = pairs.join(mine("copy"), "copy").join(mine("head"), "head")
+    together = F.arrays_zip(F.col("copy_bins").alias("x"), F.col("head_bins").alias("y"))
+    some = F.size(F.filter(together, lambda z: z["x"].isNotNull() | z["y"].isNotNull()))
+    same = F.size(F.filter(together, lambda z: z["x"] == z["y"]))
+    links = both.filter(same * 100 >= some * math.ceil(100 * AGREE)).select(F.col("copy").alias("a"), F.col("head").alias("b"))
+    return connected_components(links).select(F.col("node").alias("copy"), F.col("component").alias("class"))
+
+
 def _is_long(line: Column, long_words: int) -> Column:
     return (F.length(line) >= 2 * long_words - 1) & (F.regexp_count(line, F.lit(r"\S+")) >= long_words)
 
@@ -157,7 +196,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, percent: int = 80,
     null ids count as documents but lose no line. Repeated rows stay and lose the same lines. An empty table gives an empty result;
     columns named n_lines and n_dropped, in any case, are replaced, all others stay as they are.
 
-    With classes (copy, class: jaccard_join.text_classes) the first class is that with the smallest id, and keeps the lines in all its rows;
+    With classes (copy, class: near_copies) the first class is that with the smallest id, and keeps the lines in all its rows;
     each row is judged by its own text, whether or not its id is null or repeats. With long_words too, a line of so many words or more goes
     if a second class has it, digits included: two texts that are not near copies are enough. A passage inside a longer line is out of reach.
     """

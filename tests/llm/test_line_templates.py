@@ -102,3 +102,43 @@ def test_work_grows_with_the_lines_of_a_document(spark):
 
     seconds(1000)
     assert seconds(64000) < 2 * seconds(32000) + 2
+
+
+def test_near_copies(spark):
+    rng = random.Random(2)
+    rows, group = [], {}
+    for g in range(30):
+        base = rng.choices([f"w{i}" for i in range(500)], k=rng.choice([6, 40, 300, 3000]))
+        for _ in range(rng.choice([1, 2, 8])):
+            words = list(base)
+            for _ in range(len(words) // 100):
+                words[rng.randrange(len(words))] = f"x{len(rows)}"
+            if words not in [t.split() for _, t in rows]:
+                group[len(rows)] = g
+                rows.append((len(rows), " ".join(words)))
+    # A passage that makes up a third of each of these texts makes no copies of them.
+    passage = " ".join(rng.choices([f"p{i}" for i in range(500)], k=60))
+    for i in range(10):
+        group[len(rows)] = 1000 + i
+        rows.append((len(rows), passage + " " + " ".join(f"own{i}x{j}" for j in range(120))))
+    odd = [(900, None), (901, ""), (902, " \n"), (903, rows[0][1])]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(3)
+    classes = {r["copy"]: r["class"] for r in lt.near_copies(docs).collect()}
+    keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", lt.common.text_key("text").alias("k")).collect()}
+    found = {i: classes.get(keys[i], keys[i]) for i in group}
+    for i in group:
+        for j in group:
+            assert (found[i] == found[j]) == (group[i] == group[j])
+    assert not {keys[i] for i in (900, 901, 902)} & set(classes)
+    assert lt.near_copies(docs.limit(0)).count() == 0
+
+
+def test_no_python_on_the_main_path(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    lt.drop_recurring_lines(docs, classes=lt.near_copies(docs), long_words=50).count()
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.execution(i).get().physicalPlanDescription() for i in range(before, store.executionsCount()) if store.execution(i).isDefined()]
+    assert len(plans) > 20
+    assert not any("Python" in p or "Arrow" in p for p in plans)
