@@ -39,7 +39,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         names = dict(zip(clash, common.helpers(docs, *["own"] * len(clash)), strict=True))
         back = drop_boilerplate(spark, docs.withColumnsRenamed(names), sf_dir)
         return back.withColumnsRenamed({new: old for old, new in names.items()})
-    classes = common.cut_alone(lambda: jaccard_join.text_classes(docs, k=5, percent=80), "pipeline-classes")
+    classes = common.cut_alone(lambda: line_templates.near_copies(docs), "pipeline-classes")
     cleaned = line_templates.drop_recurring_lines(docs, classes=classes, long_words=LONG_LINE_WORDS)
     columns = {c: common.col(c) for c in docs.columns}
     columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
