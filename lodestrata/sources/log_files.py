@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from lodestrata.functions.codec import FRAME_HEADER_BYTES, Record, TornTail, read_fixed, read_frame
+from lodestrata.sources.shared import filesystem
 
 SUFFIX = ".wal"
 
@@ -26,13 +27,13 @@ class LogFile(InputPartition):
 
 
 def _files(uri: str) -> list[str]:
-    files, base = fs.FileSystem.from_uri(uri)
+    files, base = filesystem(uri)
     return sorted(i.path for i in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.path.endswith(SUFFIX))
 
 
 def _rows(uri: str, path: str) -> Iterator[tuple]:
     """A file's records, one frame in memory at a time."""
-    files, _ = fs.FileSystem.from_uri(uri)
+    files, _ = filesystem(uri)
     name, at = path.rsplit("/", 1)[-1], 0
     with files.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
         while head := f.read(FRAME_HEADER_BYTES):
@@ -86,7 +87,7 @@ class _Writer(DataSourceWriter):
         self.uri, self.prefix = uri, prefix
 
     def write(self, rows: Iterator) -> Written:
-        files, base = fs.FileSystem.from_uri(self.uri)
+        files, base = filesystem(self.uri)
         files.create_dir(base, recursive=True)
         path, out = f"{base}/_{self.prefix}-{uuid.uuid4().hex}.pending", None
         for r in rows:
@@ -99,14 +100,14 @@ class _Writer(DataSourceWriter):
         return Written(path)
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, _ = fs.FileSystem.from_uri(self.uri)
+        files, _ = filesystem(self.uri)
         for m in messages:
             if m is not None and m.path:
                 folder, name = m.path.rsplit("/", 1)
                 files.move(m.path, f"{folder}/{name[1:].removesuffix('.pending')}{SUFFIX}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, _ = fs.FileSystem.from_uri(self.uri)
+        files, _ = filesystem(self.uri)
         for m in messages:
             if m is not None and m.path:
                 files.delete_file(m.path)

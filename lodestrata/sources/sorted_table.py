@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 from lodestrata.functions.codec import FOOTER_BYTES, CorruptData, Footer, Handle, read_footer
 from lodestrata.operators.blocks import RESTART_INTERVAL, DataBlockBuilder, DataBlockReader, IndexBlockBuilder, IndexBlockReader
 from lodestrata.operators.bloom import BloomFilter
+from lodestrata.sources.shared import filesystem
 
 SUFFIX = ".sst"
 BLOCK_BYTES = 64 << 10
@@ -175,7 +176,7 @@ class _Reader(DataSourceReader):
         self.path, self.bounds = path, Bounds()
 
     def partitions(self) -> list[InputPartition]:
-        files, base = fs.FileSystem.from_uri(self.path)
+        files, base = filesystem(self.path)
         out: list[InputPartition] = []
         for info in sorted(files.get_file_info(fs.FileSelector(base, recursive=False)), key=lambda x: x.path):
             if not info.path.endswith(SUFFIX):
@@ -196,7 +197,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Run | None) -> Iterator[tuple[bytes, bytes]]:
         if partition is None:  # how Spark reads a source without partitions
             return
-        files, _ = fs.FileSystem.from_uri(self.path)
+        files, _ = filesystem(self.path)
         with files.open_input_file(partition.path) as f:
             for at, n in partition.handles:
                 data = f.read_at(n, at)
@@ -230,7 +231,7 @@ class _Writer(DataSourceWriter):
         self.path, self.overwrite, self.block_bytes, self.interval, self.rate, self.file_bytes = path, overwrite, block_bytes, interval, rate, file_bytes
 
     def write(self, rows: Iterator) -> Written:
-        files, base = fs.FileSystem.from_uri(self.path)
+        files, base = filesystem(self.path)
         files.create_dir(base, recursive=True)
         written: list[str] = []
         builder = out = last = None
@@ -258,7 +259,7 @@ class _Writer(DataSourceWriter):
         return [p for m in messages if m is not None for p in m.paths]
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, base = fs.FileSystem.from_uri(self.path)
+        files, base = filesystem(self.path)
         old = [i.path for i in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.path.endswith(SUFFIX)] if self.overwrite else []
         for p in self._each(messages):
             files.move(p, _shown(p))
@@ -266,7 +267,7 @@ class _Writer(DataSourceWriter):
             files.delete_file(p)
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, _ = fs.FileSystem.from_uri(self.path)
+        files, _ = filesystem(self.path)
         for p in self._each(messages):
             files.delete_file(p)
 
