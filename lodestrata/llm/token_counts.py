@@ -1,6 +1,7 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens) that only ever grows. A
+The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens), parted by tokenizer, that only ever grows. A call reads its
+own tokenizer's part, and keeps of it what its documents ask for before anything is grouped. A
 document's normalised content (null counts as the empty text) and the tokenizer file's bytes are
 digested with SHA-256; documents whose pair of digests is stored take the stored count. Of the rest
 each distinct content is encoded once, and the new counts are appended.
@@ -64,8 +65,11 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _encode(path: str):
+def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _LOADED and tokenizer_digest(path) != version:
+            # Counts by another file would be stored under this one's digest.
+            raise ValueError(f"this machine's {path} is not the driver's")
         encode = load_encoder(path)
         for b in batches:
             counts: list[int] = []
@@ -84,35 +88,42 @@ def cached(spark: SparkSession, cache_path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
 
 
-def append_misses(contents: DataFrame, cache_path: str, tokenizer_path: str) -> None:
-    """Encodes the distinct contents (content_digest, content) that the cache lacks and appends their counts."""
-    spark, version = contents.sparkSession, tokenizer_digest(tokenizer_path)
+def append_misses(contents: DataFrame, cache_path: str, tokenizer_path: str) -> DataFrame | None:
+    """Encodes the distinct contents (content_digest, content) that the cache lacks and appends their counts.
+
+    Returns the distinct digests of contents, or None if nothing was stored for this tokenizer before.
+    """
+    spark, version, wanted = contents.sparkSession, tokenizer_digest(tokenizer_path), None
     known = cached(spark, cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest")
     if not known.isEmpty():
         # Only digests move to find the misses; texts move for the misses alone.
-        missing = contents.select("content_digest").distinct().join(known, "content_digest", "left_anti")
-        contents = contents.join(common.cut(missing, "token-misses"), "content_digest", "left_semi")
+        wanted = common.cut(contents.select("content_digest").distinct(), "token-wanted")
+        contents = contents.join(common.cut(wanted.join(known, "content_digest", "left_anti"), "token-misses"), "content_digest", "left_semi")
     # Copies fold together before the shuffle, so a content that fills a third of the table is one row a task.
     misses = contents.groupBy("content_digest").agg(F.first("content").alias("content"))
-    counts = misses.mapInArrow(_encode(tokenizer_path), "content_digest binary, n_tokens long")
-    counts.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
+    counts = misses.mapInArrow(_encode(tokenizer_path, version), "content_digest binary, n_tokens long")
+    counts.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
+    return wanted
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text: str = "text") -> DataFrame:
-    """docs with n_bytes (UTF-8) and n_tokens; columns of docs with those names are replaced.
+    """docs with n_bytes (UTF-8) and n_tokens; columns of docs with those names, in any case, are replaced, all others stay.
 
     Null text counts as empty: 0 bytes, 0 tokens. Equal texts, repeated rows and rows with equal ids
     each keep their row. Texts are encoded whole, however long. An empty table gives an empty one.
     Counts are appended to cache_path before the result is planned, so a later call finds them.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
-    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    content = F.coalesce(common.col(text), F.lit(""))
     digest = F.unhex(F.sha2(F.encode(content, "UTF-8"), 256))
-    append_misses(docs.select(digest.alias("content_digest"), content.alias("content")), cache_path, tokenizer_path)
+    wanted = append_misses(docs.select(digest.alias("content_digest"), content.alias("content")), cache_path, tokenizer_path)
     stored = cached(spark, cache_path).filter(F.col("tokenizer_digest") == version)
+    if wanted is not None:
+        stored = stored.join(wanted, "content_digest", "left_semi")
     # Two writers may have stored the same digest; their counts are equal.
     stored = common.cut(stored.groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "__digest")]
-    mine = docs.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("__digest"))
-    right = stored.select(F.col("content_digest").alias("__stored"), "n_tokens")
-    return mine.join(right, F.col("__digest") == F.col("__stored"), "left").drop("__digest", "__stored")
+    keep = common.others(docs, "n_bytes", "n_tokens")
+    mine, theirs = common.helpers(docs, "digest", "stored")
+    rows = docs.select(*[common.col(c) for c in keep], F.octet_length(content).cast("long").alias("n_bytes"), digest.alias(mine))
+    right = stored.select(F.col("content_digest").alias(theirs), "n_tokens")
+    return rows.join(right, F.col(mine) == F.col(theirs), "left").select(*[common.col(c) for c in keep], "n_bytes", "n_tokens")

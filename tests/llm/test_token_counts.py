@@ -1,3 +1,5 @@
+import shutil
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -55,9 +57,32 @@ def test_another_tokenizer_misses(spark, docs):
 def test_empty_tables_and_clashing_columns(spark, docs, empty):
     path = common.fresh_path(spark, "cache")
     assert token_counts.count_tokens(empty, PATH, path).count() == 0
-    odd = docs.limit(5).withColumns({"n_tokens": F.lit(-1), "content": F.lit("x"), "content_digest": F.lit("y"), "__digest": F.lit(1)})
+    odd = docs.limit(5).withColumns({"N_TOKENS": F.lit(-1), "content": F.lit("x"), "content_digest": F.lit("y"), "__digest": F.lit(1), "stored": F.lit(2), "Digest": F.lit(3)})
     got = token_counts.count_tokens(odd, PATH, path)
+    assert got.columns == [*docs.columns, "content", "content_digest", "__digest", "stored", "Digest", "n_bytes", "n_tokens"]
+    assert {(r["__digest"], r["stored"], r["Digest"]) for r in got.collect()} == {(1, 2, 3)}
     assert got.columns.count("n_tokens") == 1
     assert got.filter("n_tokens < 0").count() == 0
     with pytest.raises(ValueError, match="no library"):
         token_counts.load_encoder("x.bin")
+
+
+def test_a_call_reads_its_own_tokenizer_and_digests(spark, docs):
+    path = common.fresh_path(spark, "cache")
+    token_counts.count_tokens(docs, PATH, path).count()
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    few = docs.filter("doc_id < 3")
+    assert counts(token_counts.count_tokens(few, PATH, path)) == [x for x in counts(token_counts.count_tokens(docs, PATH, path)) if x[0] and x[1] < 3]
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.execution(i).get().physicalPlanDescription() for i in range(before, store.executionsCount()) if store.execution(i).isDefined()]
+    grouped = [p for p in plans if "token-counts" in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert grouped
+    assert all("LeftSemi" in p and "PartitionFilters: [isnotnull(tokenizer_digest" in p for p in grouped)
+
+
+def test_another_file_on_a_worker_raises(spark, docs, tmp_path):
+    own = f"{tmp_path}/own.json"
+    shutil.copy(PATH, own)
+    contents = docs.limit(1).select(F.lit(b"x").alias("content_digest"), F.lit("text").alias("content"))
+    with pytest.raises(Exception, match="is not the driver's"):
+        contents.mapInArrow(token_counts._encode(own, "another digest"), "content_digest binary, n_tokens long").collect()
