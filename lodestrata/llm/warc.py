@@ -2,7 +2,9 @@
 
 An archive is a ``.warc.zst`` file: a leading skippable frame that holds a Zstandard dictionary, then
 each WARC/1.1 record as a frame of its own, compressed with that dictionary. The dictionary is built
-from the archive's own first records (up to ``sample_bytes``), so it needs no pass before the write.
+from the archive's own first records (up to ``sample_bytes``, of each its first SAMPLE_RECORD_BYTES), so it needs no pass before the
+write. Where these are too few or too alike to train one, their beginnings are the dictionary, as plain content that the frame holds compressed.
+Records are archived whole.
 
 Each executor streams its rows into archives of about ``archive_bytes``: memory holds the sample and
 one record at a time. A file's name holds the task attempt that wrote it, and the manifest (a Parquet
@@ -13,6 +15,7 @@ twice. The folder must be reachable by pyarrow's file systems under its own URI.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import struct
@@ -27,20 +30,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import common
+from lodestrata.sources.shared import filesystem
 
 #: Fixed values of the published formats: the skippable frame's magic, and Zstandard's own.
 DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
+DICTIONARY_HEAD = b"\x37\xa4\x30\xec"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: One record's share of the dictionary's sample.
+#: One record's share of the dictionary's sample, and of a dictionary of plain content.
 SAMPLE_RECORD_BYTES = 128 << 10
+PLAIN_RECORD_BYTES = 2 << 10
 MANIFEST = "archive string, n_records long, n_bytes long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page/{page_id}')}>"
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
+
+
+def response_id(page_id: int, digest: str) -> str:
+    """The id of the only response with this page_id and payload: revisits can name it without having seen it."""
+    return record_id(f"page/{page_id}/{digest}")
 
 
 def base32_sha1(digest: bytes) -> str:
@@ -52,31 +63,34 @@ def _uri(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, n_bytes: int, date: str) -> bytes:
-    """One uncompressed record. A revisit has the response's HTTP headers but no payload."""
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, n_bytes: int, date: str, place: str = "", alone: bool = True) -> bytes:
+    """One uncompressed record. A revisit has the response's HTTP headers but no payload.
+
+    place is unlike that of any other record; alone tells that one row only has the response's page_id and payload.
+    """
+    alone = alone and (page_id if refers_to is None else refers_to) is not None
+    own = response_id(page_id, digest) if refers_to is None and alone else record_id(f"place/{place}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_uri(url)}")
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", *([f"WARC-Refers-To: {response_id(refers_to, digest)}"] if alone else []), f"X-Refers-To-Page-ID: {refers_to}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train(samples: list[bytes], dict_bytes: int) -> bytes | None:
-    """A dictionary, or None where the samples are too few or too alike to train one."""
+def train(samples: list[bytes], dict_bytes: int) -> bytes:
+    """A trained dictionary; where the samples are too few or too alike for one, their beginnings."""
     # A dictionary larger than a fraction of its sample can't be trained.
     size = min(dict_bytes, sum(map(len, samples)) // 10)
-    if len(samples) < 8 or size < 1024:
-        return None
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return None
+    if len(samples) >= 8 and size >= 1024:
+        with contextlib.suppress(zstandard.ZstdError):
+            return zstandard.train_dictionary(size, samples).as_bytes()
+    return b"".join(x[:PLAIN_RECORD_BYTES] for x in samples[: max(1, dict_bytes // PLAIN_RECORD_BYTES)])
 
 
 class _Archive:
@@ -91,10 +105,9 @@ class _Archive:
     def _open(self) -> None:
         self.out = self.files.open_output_stream(self.path, compression=None)
         data = train([r[:SAMPLE_RECORD_BYTES] for r in self.waiting], self.dict_bytes)
-        if data is not None:
-            self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
-        d = zstandard.ZstdCompressionDict(data) if data is not None else None
-        self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=d, write_checksum=True, write_content_size=True)
+        kept = data if data[:4] == DICTIONARY_HEAD else zstandard.ZstdCompressor(level=self.level).compress(data)
+        self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(kept)) + kept)
+        self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=True, write_content_size=True)
         for r in self.waiting:
             self.out.write(self.compressor.compress(r))
         self.waiting = []
@@ -119,17 +132,17 @@ class _Archive:
 
 def _writer(root: str, archive_bytes: int, dict_bytes: int, sample_bytes: int, level: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = fs.FileSystem.from_uri(root)
+        files, base = filesystem(root)
         files.create_dir(base, recursive=True)
         task, seq, current, done = TaskContext.get(), 0, None, []
         for b in batches:
-            columns = [b.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to", "n_bytes")]
+            columns = [b.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to", "n_bytes", "alone")]
             for i in range(b.num_rows):
-                page_id, url, payload, digest, refers_to, n_bytes = (c[i].as_py() for c in columns)
+                page_id, url, payload, digest, refers_to, n_bytes, alone = (c[i].as_py() for c in columns)
                 if current is None:
                     name = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{seq:04d}.warc.zst"
                     current, seq = _Archive(files, name, dict_bytes, sample_bytes, level), seq + 1
-                current.add(build_record(page_id, url, payload or b"", base32_sha1(digest), refers_to, n_bytes, date))
+                current.add(build_record(page_id, url, payload or b"", base32_sha1(digest), refers_to, n_bytes, date, f"{current.path}/{current.n}", alone))
                 if current.taken >= archive_bytes:
                     done.append(current.close())
                     current = None
@@ -142,7 +155,8 @@ def _writer(root: str, archive_bytes: int, dict_bytes: int, sample_bytes: int, l
 
 
 def label_copies(pages: DataFrame, payload: str = "html", page_id: str = "page_id", url: str = "url", min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (bytes; null for revisits), digest (SHA-1), n_bytes and refers_to (null for responses).
+    """page_id, url, payload (bytes; null for revisits), digest (SHA-1), n_bytes, refers_to (null for responses) and alone (whether
+    one row only has the response's page_id and payload). Page ids are integers.
 
     Of rows with equal payloads of at least min_revisit_bytes, those with the largest page_id are
     responses and the others refer to it; a null page_id is always a response. The rows of a hot payload are
@@ -150,12 +164,13 @@ def label_copies(pages: DataFrame, payload: str = "html", page_id: str = "page_i
     """
     content = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), content.alias("payload"), F.unhex(F.sha1(content)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    groups = rows.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).filter("copies > 1")
-    groups = common.cut(groups.select("digest", "winner"), "warc-copies")
+    pairs = rows.select("digest", "page_id").groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    groups = pairs.groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("last"), F.sum("n").alias("copies")).filter("copies > 1")
+    groups = common.cut(groups.select("digest", F.col("last.page_id").alias("winner"), (F.col("last.n") == 1).alias("lone")), "warc-copies")
     joined = rows.join(groups, "digest", "left")
     refers = F.when((F.col("page_id") != F.col("winner")) & (F.col("n_bytes") >= min_revisit_bytes), F.col("winner"))
     out = joined.withColumn("refers_to", refers)
-    return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "n_bytes", "refers_to")
+    return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "n_bytes", "refers_to", F.coalesce("lone", F.lit(True)).alias("alone"))
 
 
 def write_archives(labelled: DataFrame, root: str, archive_bytes: int = 64 << 20, dict_bytes: int = 64 << 10, sample_bytes: int = 1 << 20, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -240,7 +255,7 @@ def _reader(root: str, payloads: bool):
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, _ = fs.FileSystem.from_uri(root)
+        files, _ = filesystem(root)
         for b in batches:
             for archive in b.column("archive").to_pylist():
                 rows, held = [], 0

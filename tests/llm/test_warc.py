@@ -88,6 +88,35 @@ def test_odd_tables(spark):
     assert [r["record_type"] for r in warc.read_archives(spark, root).collect()] == ["response", "response"]
 
 
+def records_of(manifest):
+    for r in manifest.collect():
+        with open(r["archive"], "rb") as f:
+            yield r["archive"], list(warc.read_records(f))
+
+
+def test_record_ids_are_unique_and_revisits_name_them(spark, rows):
+    table = pages_table(spark, [*rows, *rows[:3], (None, "n", "no id"), (None, "n", "no id"), (7000, "u", rows[7][2]), (7000, "v", rows[7][2]), (8, "other payload", "of an id that repeats")])
+    _, manifest = written(spark, table, archive_bytes=100_000, sample_bytes=20_000)
+    headers = [h for _, found in records_of(manifest) for h, _ in found]
+    ids = [h["warc-record-id"] for h in headers]
+    assert len(set(ids)) == len(ids) == len(rows) + 8
+    by_id = {h["warc-record-id"]: h for h in headers}
+    named = [h for h in headers if "warc-refers-to" in h]
+    assert len(named) > 100
+    for h in named:
+        target = by_id[h["warc-refers-to"]]
+        assert (target["warc-type"], target["x-page-id"], target["warc-payload-digest"]) == ("response", h["x-refers-to-page-id"], h["warc-payload-digest"])
+
+
+def test_every_archive_has_a_dictionary(spark, rows):
+    for few in (rows[:1], rows[:5], [(i, "u", "same " * 5) for i in range(40)], [(1, "u", "y" * 400_000)]):
+        root, manifest = written(spark, pages_table(spark, few))
+        for r in manifest.collect():
+            with open(r["archive"], "rb") as f:
+                assert struct.unpack("<I", f.read(4))[0] == warc.DICTIONARY_MAGIC
+        assert sorted((r["page_id"], r["payload_digest"]) for r in warc.read_archives(spark, root).collect()) == sorted((i, digest(t)) for i, _, t in few)
+
+
 def test_damage_raises(spark, tmp_path):
     import io
 
