@@ -18,6 +18,7 @@ thus in proportion to the rules (times the logarithm of the universe), not to th
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -91,13 +92,10 @@ def _positions(key: Column, level_bits: int, n_hashes: int, seed: int) -> list[C
 
 
 def _passes(key: Column, level: Level) -> Column:
-    # The words come as one constant string: splitting and casting it is folded to an array once, on the driver.
+    # The words come as one constant string, once a level: splitting and casting it is folded to an array on the driver.
     words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
-    out = F.lit(True)
-    for p in _positions(key, 64 * len(level.words), level.n_hashes, level.seed):
-        word, bit = F.floor(p / 64).cast("int"), p % 64
-        out = out & (F.call_function("shiftright", F.get(words, word), bit.cast("int")).bitwiseAND(1) == 1)
-    return out
+    places = F.array(*_positions(key, 64 * len(level.words), level.n_hashes, level.seed))
+    return F.forall(places, lambda p: F.call_function("shiftright", F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(1) == 1)
 
 
 def contains(cascade: Cascade, key: Column) -> Column:
@@ -156,7 +154,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
 
     Two cascades over all candidate keys of pages are asked: one lists every rule's key, one those that
     block. A url that no rule fits gets ``default``, as does one that is null or lacks ``://`` (host and
-    path are then empty). Columns of pages with the result's names are replaced; repeated rows stay. An
+    path are then empty). Columns of pages with the result's names, in any case, are replaced, all others stay; repeated rows stay. An
     empty table or rule list is fine. Of two rules with one key, the last counts. Rules' hosts must be
     lower case and their paths must start with ``/``.
     """
@@ -166,18 +164,22 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     spark = pages.sparkSession
     last = {r.key: r for r in rules}
     lengths = sorted({len(r.path) for r in last.values()})
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "__host", "__path", "__keys", "__rule")]
-    split = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(f"`{url}`")).alias("__host"), path_of(F.col(f"`{url}`")).alias("__path"))
+    keep = [common.col(c) for c in common.others(pages, "host", "path", "rule", "verdict")]
+    names = common.helpers(pages, "host", "path", "keys", "rule")
+    host, path, keys, rule = (F.col(c) for c in names)
+    split = pages.select("*", host_of(common.col(url)).alias(names[0]), path_of(common.col(url)).alias(names[1]))
     if not last:
-        return split.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keyed = split.withColumn("__keys", candidate_keys(F.col("__host"), F.col("__path"), lengths))
-    universe = keyed.select(F.explode("__keys").alias("key"))
-    names = spark.createDataFrame([(k, r.action) for k, r in last.items()], "key string, action string")
-    listed = build_cascade(names, universe, level0_rate)
+        return split.select(*keep, host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keyed = split.withColumn(names[2], candidate_keys(host, path, lengths))
+    universe = keyed.select(F.explode(keys).alias("key"))
+    # The rules are one constant string, which the driver parses.
+    ruled = F.from_json(F.lit(json.dumps([{"key": k, "action": r.action} for k, r in last.items()])), "array<struct<key:string,action:string>>")
+    listing = spark.range(1).select(F.explode(ruled).alias("r")).select("r.key", "r.action")
+    listed = build_cascade(listing, universe, level0_rate)
     # The second cascade is only asked about listed keys, so those are its universe.
-    blocking = build_cascade(names.filter("action = 'block'"), names, level0_rate)
-    fitting = F.filter(F.col("__keys"), lambda k: contains(listed, k))
+    blocking = build_cascade(listing.filter("action = 'block'"), listing, level0_rate)
+    fitting = F.filter(keys, lambda k: contains(listed, k))
     longest = F.array_sort(fitting, lambda a, b: F.length(b) - F.length(a))
-    judged = keyed.withColumn("__rule", F.get(longest, F.lit(0)))
-    verdict = F.when(F.col("__rule").isNull(), F.lit(default)).when(contains(blocking, F.col("__rule")), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"))
+    judged = keyed.withColumn(names[3], F.get(longest, F.lit(0)))
+    verdict = F.when(rule.isNull(), F.lit(default)).when(contains(blocking, rule), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select(*keep, host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"))

@@ -66,9 +66,23 @@ def test_odd_tables(spark):
     assert uf.judge(empty, URL_RULES).count() == 0
     assert {v[2:] for v in judged(uf.judge(table(spark, URLS), [])).values()} == {(None, "allow")}
     clash = table(spark, ["http://x.com/de/"] * 2).withColumns({"host": F.lit(1), "rule": F.lit(2), "key": F.lit(3), "__keys": F.lit(4)})
+    clash = clash.withColumns({"__host": F.lit(5), "Verdict": F.lit(6), "keys": F.lit(7), "__path": F.lit(8)})
     got = uf.judge(clash, URL_RULES, default="block")
+    assert got.columns == ["page_id", "url", "key", "__keys", "__host", "keys", "__path", "host", "path", "rule", "verdict"]
+    assert {(r["key"], r["__keys"], r["__host"], r["keys"], r["__path"]) for r in got.collect()} == {(3, 4, 5, 7, 8)}
     assert got.filter("rule = 'com/de/' and verdict = 'block'").count() == 2
     for bad in (Rule("maybe", "a", "/"), Rule("block", "A", "/"), Rule("block", "a", "x")):
         with pytest.raises(ValueError, match="not a rule"):
             uf.judge(clash, [bad])
     assert judged(uf.judge(table(spark, ["http://x.com/"]), [Rule("allow", "com", "/"), Rule("block", "com", "/")]))[0][3] == "block"
+
+
+def test_no_python_in_the_whole_run(spark, tmp_path):
+    table(spark, URLS).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    uf.judge(pages, URL_RULES, level0_rate=0.5).count()
+    plans = [store.execution(i).get().physicalPlanDescription() for i in range(before, store.executionsCount()) if store.execution(i).isDefined()]
+    assert len(plans) > 5
+    assert not any(re.search("Python|Arrow|ExistingRDD", p) for p in plans)
