@@ -14,16 +14,16 @@ from lodestrata.operators import blocks
 
 
 def commits(log: DataFrame, until: int | None = None) -> DataFrame:
-    """(txn_id, commit_seq) of transactions with a COMMIT and no ABORT; until: those that committed by then."""
+    """(txn_id, commit_seq) of transactions whose first COMMIT or ABORT is a COMMIT; until: those that committed by then."""
     marks = log.filter(F.col("type").isin(COMMIT, ABORT)).groupBy("txn_id")
-    found = marks.agg(F.min(F.when(F.col("type") == COMMIT, F.col("seq"))).alias("commit_seq"), F.max((F.col("type") == ABORT).cast("int")).alias("aborted"))
-    found = found.filter("commit_seq is not null and aborted = 0").select("txn_id", "commit_seq")
+    found = marks.agg(F.min(F.struct("seq", "type")).alias("end")).filter(F.col("end.type") == COMMIT).select("txn_id", F.col("end.seq").alias("commit_seq"))
     return found if until is None else found.filter(F.col("commit_seq") <= until)
 
 
 def committed_changes(log: DataFrame, until: int | None = None) -> DataFrame:
-    """PUT and DELETE rows of committed transactions, with commit_seq."""
-    return log.filter(F.col("type").isin(PUT, DELETE)).join(commits(log, until), "txn_id")
+    """PUT and DELETE rows of committed transactions, with commit_seq; what a transaction logs after its end is ignored."""
+    changes = log.filter(F.col("type").isin(PUT, DELETE)).join(commits(log, until), "txn_id")
+    return changes.filter(F.col("seq") < F.col("commit_seq"))
 
 
 def _newest(rows: DataFrame, order: list[Column | str]) -> DataFrame:

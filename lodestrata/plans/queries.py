@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.codec import ABORT, COMMIT, DELETE, PUT, frame_size, varint_length
+from lodestrata.functions.codec import ABORT, COMMIT, DELETE, PUT, fixed32, frame_size, varint_length
 from lodestrata.functions.keys import padded, shared_prefix_bytes
 from lodestrata.operators import blocks, bloom, wal
 from lodestrata.operators.kv import OrderedMap
 from lodestrata.plans import lsm
+from lodestrata.sources.files import FileManager
 from lodestrata.sources.log_files import LogSource
 from lodestrata.sources.shared import fresh_path
-from lodestrata.sources.sorted_table import SortedTableSource, load
+from lodestrata.sources.sorted_table import SortedTableSource, load, lookup
+from lodestrata.streaming import replay as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,14 +83,27 @@ def kv_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_map(spark, sf_dir).size()
 
 
-@query("SELECT 0::BIGINT AS size")
+@query(f"SELECT count(*) FILTER (WHERE key < '')::BIGINT AS size, count(*)::BIGINT AS before FROM ({ORDERS_SQL})")
 def kv_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_map(spark, sf_dir).clear().size()
+    orders = orders_map(spark, sf_dir)
+    sizes = [m.size().withColumn("which", F.lit(name)) for name, m in (("size", orders.clear()), ("before", orders))]
+    return sizes[0].unionAll(sizes[1]).groupBy().agg(*[F.max(F.when(F.col("which") == name, F.col("size"))).alias(name) for name in ("size", "before")])
 
 
-@query(f"SELECT count(*) = 0 AS is_empty FROM ({ORDERS_SQL})")
+@query(f"SELECT 'orders' AS map, count(*) = 0 AS is_empty FROM ({ORDERS_SQL}) UNION ALL SELECT 'none', count(*) = 0 FROM orders WHERE o_orderkey IS NULL")
 def kv_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_map(spark, sf_dir).size().select((F.col("size") == 0).alias("is_empty"))
+    maps = {"orders": orders_map(spark, sf_dir), "none": OrderedMap.empty(spark)}
+    return spark.createDataFrame([(name, m.is_empty()) for name, m in maps.items()], "map string, is_empty boolean")
+
+
+@query(f"SELECT k.key, m.key IS NOT NULL AS found, m.value FROM (VALUES ('{GET_KEY}'), ('{SEEK_KEY}'), ('')) k(key) LEFT JOIN ({ORDERS_SQL}) m ON m.key = k.key")
+def kv_scalar_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key at a time, as contains() and get() answer."""
+    orders, rows = orders_map(spark, sf_dir), []
+    for key in (GET_KEY, SEEK_KEY, ""):
+        value = orders.get(key.encode())
+        rows.append((key, orders.contains(key.encode()), None if value is None else value.decode()))
+    return spark.createDataFrame(rows, "key string, found boolean, value string")
 
 
 @query(f"SELECT key FROM (SELECT DISTINCT lpad((user_id * 7)::VARCHAR, 12, '0') AS key FROM events) p WHERE EXISTS (SELECT 1 FROM ({ORDERS_SQL}) m WHERE m.key = p.key)")
@@ -314,7 +331,14 @@ def wal_frame_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_log(spark, sf_dir).select("seq", frame_size(F.octet_length("key").cast("long"), F.octet_length("value").cast("long")).cast("long").alias("n_bytes"))
 
 
-@query()
+_BYTES = "list_transform(list_filter(string_split({0}, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)"
+# The published reflected polynomial, a bit at a time; keys and values are of ASCII and shorter than 128 bytes.
+_CRC_SQL = f"""
+    payload AS (SELECT seq, list_transform(range(0, 8), lambda i: (txn_id::BIGINT >> (8 * i)::BIGINT) & 255) || [type::BIGINT, strlen(key)::BIGINT, strlen(value)::BIGINT] || {_BYTES.format("key")} || {_BYTES.format("value")} AS b FROM log),
+    crcs AS (SELECT seq, xor(4294967295, list_reduce(b, lambda c, x: list_reduce(range(0, 8), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(c, x)), 4294967295)) AS crc FROM payload)"""
+
+
+@query(f"WITH {LOG_SQL}, {_CRC_SQL} SELECT seq, crc::BIGINT AS crc FROM crcs")
 def wal_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wal.payload_checksums(events_log(spark, sf_dir))
 
@@ -341,6 +365,9 @@ def varint_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(n.alias("n")).distinct().select("n", varint_length(F.col("n")).alias("n_bytes"))
 
 
+LOG_PARTS = 8
+
+
 # Membership
 
 
@@ -373,6 +400,110 @@ def bloom_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.crossJoin(false).select((F.col("least") == 1).alias("none_missed"), (F.col("rate") <= 0.018).alias("rate_holds"))
 
 
+U64 = "18446744073709551616::UHUGEINT"
+
+
+def _hash_sql(keys: str) -> str:
+    """h: the two hashes of each key of twelve ASCII bytes, in arithmetic modulo 2^64."""
+
+    def word(start: int, n: int) -> str:
+        return " + ".join(f"unicode(substr(key, {start + i + 1}, 1))::UHUGEINT * {1 << 8 * i}::UHUGEINT" for i in range(n))
+
+    stirred = lambda x, shift, factor: f"(xor({x}, {x} >> {shift}) * {factor}::UHUGEINT) % {U64}"
+    return f"""
+    h0 AS (SELECT key, name, xor(seed::UHUGEINT, ({bloom.GOLDEN} + 12)::UHUGEINT) AS x FROM ({keys}), (VALUES ('start', {bloom.SEED_START}::UHUGEINT), ('step', {bloom.SEED_STEP}::UHUGEINT)) s(name, seed)),
+    h1 AS (SELECT key, name, (x + {word(0, 8)} + {bloom.GOLDEN}::UHUGEINT) % {U64} AS x FROM h0),
+    h2 AS (SELECT key, name, {stirred("x", 30, bloom.MIX_A)} AS x FROM h1),
+    h3 AS (SELECT key, name, {stirred("x", 27, bloom.MIX_B)} AS x FROM h2),
+    h4 AS (SELECT key, name, (x + {word(8, 4)}) % {U64} AS x FROM h3),
+    h5 AS (SELECT key, name, {stirred("x", 30, bloom.MIX_A)} AS x FROM h4),
+    h6 AS (SELECT key, name, {stirred("x", 27, bloom.MIX_B)} AS x FROM h5),
+    h AS (SELECT key, max(xor(x, x >> 31)) FILTER (name = 'start') AS a, max((xor(x, x >> 31) * 2::UHUGEINT) % {U64} + 1::UHUGEINT) FILTER (name = 'step') AS step FROM h6 GROUP BY key)"""
+
+
+FILTER_KEYS = 1000
+_BITS, _K = bloom.size_bits(FILTER_KEYS, 0.01), bloom.hash_count(FILTER_KEYS, bloom.size_bits(FILTER_KEYS, 0.01))
+_PLACES_SQL = f"""
+    places(key, i, spot, step) AS (SELECT key, 0, a % {_BITS}::UHUGEINT, step FROM h UNION ALL SELECT key, i + 1, ((spot + step) % {U64}) % {_BITS}::UHUGEINT, step FROM places WHERE i + 1 < {_K})"""
+
+
+@query(f"WITH RECURSIVE {_hash_sql('SELECT key FROM (' + ORDERS_SQL + ')')}, {_PLACES_SQL} SELECT key, i::INTEGER AS i, spot::BIGINT AS place FROM places")
+def bloom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of every key's bits in a filter for a thousand keys."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = bloom.positions(b.column(0).to_pylist(), _BITS, _K)
+            which = np.repeat(np.arange(len(at)), _K)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(np.tile(np.arange(_K, dtype=np.int32), len(at))), pa.array(at.ravel())], ["key", "i", "place"])
+
+    return _text(orders_map(spark, sf_dir).rows.select("key").mapInArrow(places, "key binary, i int, place long"))
+
+
+_HEAD = fixed32(bloom.HEADER_MAGIC) + fixed32(bloom.HEADER_VERSION) + _BITS.to_bytes(8, "little") + fixed32(_K) + fixed32(0)
+
+
+@query(f"""
+WITH RECURSIVE {_hash_sql('SELECT key FROM (' + CUSTOMERS_SQL + ')')}, {_PLACES_SQL},
+bits AS (SELECT DISTINCT spot::BIGINT AS spot FROM places),
+data AS (SELECT spot // 8 AS byte, sum(1 << (spot % 8)) AS value FROM bits GROUP BY byte),
+head AS (SELECT unnest({list(_HEAD)}) AS value, unnest(range(0, {len(_HEAD)})) AS place)
+SELECT place::BIGINT AS place, value::INTEGER AS value FROM head
+UNION ALL SELECT b.byte + {len(_HEAD)}, coalesce(d.value, 0)::INTEGER FROM (SELECT unnest(range(0, {(_BITS + 7) // 8})) AS byte) b LEFT JOIN data d ON d.byte = b.byte""")
+def bloom_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the customers' filter, serialised, read and serialised again."""
+    built = bloom.build(customers_map(spark, sf_dir).rows, "key", expected=FILTER_KEYS)
+    data = bloom.BloomFilter.deserialize(built.serialize()).serialize()
+    return spark.createDataFrame(list(enumerate(data)), "place long, value int")
+
+
+# Files
+
+LIFECYCLE_SQL = "SELECT string_agg(r_name, ',' ORDER BY r_regionkey) AS names FROM region"
+
+
+@query(f"""
+WITH t AS ({LIFECYCLE_SQL})
+SELECT unnest(['exists before', 'open before', 'written', 'first four bytes', 'the rest', 'at two', 'renamed', 'old name', 'new content', 'deleted', 'deleted again', 'exists after']) AS step,
+    unnest(['False', 'None', 'True', names[1:4], names[5:], names[3:7], 'True', 'False', names, 'True', 'True', 'False']) AS outcome FROM t""")
+def file_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of the regions' names is made, read, moved over another and removed."""
+    files, path = FileManager(spark), fresh_path(spark, "file")
+    names = ",".join(r["r_name"] for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect()).encode()
+    steps = [("exists before", files.exists(path)), ("open before", files.open(path))]
+    with files.create(path) as f:
+        steps.append(("written", f.write(names[:7]) and f.write(names[7:]) and f.flush() and f.sync()))
+    with files.open(path) as r:
+        steps += [("first four bytes", r.read(4)), ("the rest", r.read(1 << 20)), ("at two", r.read_at(2, 5))]
+    with files.create(f"{path}.other") as f:
+        f.write(b"to be replaced")
+    steps += [("renamed", files.rename(path, f"{path}.other")), ("old name", files.exists(path))]
+    with files.open(f"{path}.other") as r:
+        steps.append(("new content", r.read(1 << 20)))
+    steps += [("deleted", files.delete(f"{path}.other")), ("deleted again", files.delete(f"{path}.other")), ("exists after", files.exists(f"{path}.other"))]
+    return spark.createDataFrame([(step, x.decode() if isinstance(x, bytes) else str(x)) for step, x in steps], "step string, outcome string")
+
+
+@query(f"WITH p AS (SELECT DISTINCT lpad((user_id * 3)::VARCHAR, 12, '0') AS key FROM events) SELECT p.key, m.value FROM p JOIN ({ORDERS_SQL}) m ON m.key = p.key")
+def sst_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys looked up in sorted-table files: filter, index, then the restart points of one block."""
+    spark.dataSource.register(SortedTableSource)
+    path = fresh_path(spark, "sst")
+    orders_map(spark, sf_dir).rows.repartitionByRange(4, "key").sortWithinPartitions("key").write.format("sorted_table").mode("append").option("block_bytes", 4096).save(path)
+    probes = _table(spark, sf_dir, "events").select(padded(F.col("user_id") * 3).cast("binary").alias("key")).distinct()
+    return _text(lookup(probes, path))
+
+
+@query(f"SELECT key, value FROM ({ORDERS_SQL}) WHERE key IN ('{GET_KEY}', '{SEEK_KEY}')")
+def sst_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality reaches the files' filters and indexes; one of the keys is in none."""
+    spark.dataSource.register(SortedTableSource)
+    path = fresh_path(spark, "sst")
+    orders_map(spark, sf_dir).rows.repartitionByRange(4, "key").sortWithinPartitions("key").write.format("sorted_table").mode("append").option("block_bytes", 4096).save(path)
+    one, other = (load(spark, path).filter(F.col("key") == F.lit(k.encode())) for k in (GET_KEY, SEEK_KEY))
+    return _text(one.unionAll(other))
+
+
 # Beyond the base: replay and merges
 
 
@@ -390,6 +521,24 @@ def wal_replay_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(lsm.replay(events_log(spark, sf_dir)))
 
 
+@query(_replay_sql("true"))
+def wal_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log is appended in parts, read as a stream of frame files, and its committed changes are folded."""
+    spark.dataSource.register(LogSource)
+    path, out = fresh_path(spark, "wal"), fresh_path(spark, "replayed")
+    log = events_log(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for i in range(LOG_PARTS):
+        part = log.filter((F.col("seq") > last * i // LOG_PARTS - (i == 0)) & (F.col("seq") <= last * (i + 1) // LOG_PARTS))
+        part.coalesce(1).sortWithinPartitions("seq").select("txn_id", "type", "key", "value").write.format("wal_frames").mode("append").option("prefix", f"part{i}").save(path)
+    frames = spark.readStream.format("wal_frames").load(path)
+    # A record's place in the log: its file's, then its own in the file.
+    rows = frames.select((F.substring("file", 5, 1).cast("long") * (1 << 40) + F.col("offset")).alias("seq"), "txn_id", "type", "key", "value")
+    changes = streaming.committed_stream(rows)
+    changes.writeStream.format("parquet").option("checkpointLocation", fresh_path(spark, "replay-state")).trigger(availableNow=True).start(out).awaitTermination()
+    return _text(streaming.fold(spark.read.schema(changes.schema).parquet(out)))
+
+
 @query(_replay_sql(f"d.commit_seq <= (SELECT max(event_id) FROM events) * 2 // {SNAPSHOT_SHARE}"))
 def mvcc_snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0

@@ -1,12 +1,14 @@
 """The ``wal_frames`` data source: append-only log files of checksummed frames, read in batch or as a stream.
 
 A file is frames end to end. Rows are (file, offset, txn_id, type, key, value). A frame cut off at a file's end (a crash, or a
-writer at work) ends the file there; a wrong checksum anywhere raises. A stream takes each file up when it
-is first listed.
+writer at work) ends the file there; a wrong checksum anywhere raises. A stream takes each file up once, when it
+is first listed, whatever its name; its offsets name the files of the folder, so old files should be merged or moved away. Files that this
+source writes have names that sort in the order of their commits, and end at FILE_BYTES.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +21,8 @@ from lodestrata.functions.codec import FRAME_HEADER_BYTES, Record, TornTail, rea
 from lodestrata.sources.shared import filesystem
 
 SUFFIX = ".wal"
+#: A task starts another file here: a file is read by one task.
+FILE_BYTES = 128 << 20
 
 
 @dataclass
@@ -59,19 +63,21 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets are the last file name taken: names must sort in the order files appear."""
+    """An offset names all files that were listed by then."""
 
     def __init__(self, uri: str):
         self.uri = uri
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"after": max(_files(self.uri), default="")}
+        return {"files": [p.rsplit("/", 1)[-1] for p in _files(self.uri)]}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [LogFile(p) for p in _files(self.uri) if start["after"] < p <= end["after"]]
+        _, base = filesystem(self.uri)
+        taken = set(start["files"])
+        return [LogFile(f"{base}/{name}") for name in end["files"] if name not in taken]
 
     def read(self, partition: LogFile) -> Iterator[tuple]:
         return _rows(self.uri, partition.path)
@@ -79,42 +85,49 @@ class _StreamReader(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, uri: str, prefix: str):
-        self.uri, self.prefix = uri, prefix
+    def __init__(self, uri: str, prefix: str, file_bytes: int):
+        self.uri, self.prefix, self.file_bytes = uri, prefix, file_bytes
 
     def write(self, rows: Iterator) -> Written:
         files, base = filesystem(self.uri)
         files.create_dir(base, recursive=True)
-        path, out = f"{base}/_{self.prefix}-{uuid.uuid4().hex}.pending", None
+        paths: list[str] = []
+        out, size = None, 0
         for r in rows:
             if out is None:
-                out = files.open_output_stream(path, compression=None)
-            out.write(Record(r["txn_id"], r["type"], bytes(r["key"] or b""), bytes(r["value"] or b"")).frame())
-        if out is None:
-            return Written(None)
-        out.close()
-        return Written(path)
+                paths.append(f"{base}/_{uuid.uuid4().hex}.pending")
+                out, size = files.open_output_stream(paths[-1], compression=None), 0
+            frame = Record(r["txn_id"], r["type"], bytes(r["key"] or b""), bytes(r["value"] or b"")).frame()
+            out.write(frame)
+            size += len(frame)
+            if size >= self.file_bytes:
+                out.close()
+                out = None
+        if out is not None:
+            out.close()
+        return Written(paths)
+
+    def _each(self, messages: list[Written | None]) -> list[str]:
+        return [p for m in messages if m is not None for p in m.paths]
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, _ = filesystem(self.uri)
-        for m in messages:
-            if m is not None and m.path:
-                folder, name = m.path.rsplit("/", 1)
-                files.move(m.path, f"{folder}/{name[1:].removesuffix('.pending')}{SUFFIX}")
+        files, base = filesystem(self.uri)
+        now = time.time_ns() // 1000
+        for i, path in enumerate(self._each(messages)):
+            files.move(path, f"{base}/{self.prefix}-{now:020d}-{i:06d}-{uuid.uuid4().hex[:8]}{SUFFIX}")
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = filesystem(self.uri)
-        for m in messages:
-            if m is not None and m.path:
-                files.delete_file(m.path)
+        for path in self._each(messages):
+            files.delete_file(path)
 
 
 class LogSource(DataSource):
-    """Options: path; for writing, prefix (default ``log``) begins the file names. Rows to write: txn_id, type, key, value."""
+    """Options: path; for writing, prefix (default ``log``) begins the file names, file_bytes ends a file. Rows to write: txn_id, type, key, value."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,4 +149,4 @@ class LogSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("a log is only appended to")
-        return _Writer(self._uri(), self.options.get("prefix", "log"))
+        return _Writer(self._uri(), self.options.get("prefix", "log"), int(self.options.get("file_bytes", FILE_BYTES)))

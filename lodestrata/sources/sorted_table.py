@@ -15,8 +15,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -303,3 +305,35 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(SortedTableSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("sorted_table").option("pushdown", "true").load(path)
+
+
+#: Open files whose filters and indexes a task keeps.
+OPEN_FILES = 64
+
+
+def lookup(probes: DataFrame, path: str, key: str = "key") -> DataFrame:
+    """(key, value) of the probes that a folder's files hold: through a file's filter, its index and the restart points of one block.
+
+    A task opens the files one after another and asks each for all keys of a batch; a key is in one file at most. Null keys are in none.
+    """
+    uri = path if "://" in path else f"file://{path}"
+    names = [(i.path, i.size) for i in sorted(filesystem(uri)[0].get_file_info(fs.FileSelector(filesystem(uri)[1], recursive=False)), key=lambda x: x.path) if i.path.endswith(SUFFIX)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = filesystem(uri)
+        tables: dict[str, TableFile] = {}
+        for b in batches:
+            wanted, found = {k for k in b.column(0).to_pylist() if k is not None}, {}
+            for name, size in names if wanted else []:
+                if name not in tables:
+                    if len(tables) >= OPEN_FILES:
+                        tables.pop(next(iter(tables)))
+                    tables[name] = TableFile(lambda at, n, f=files.open_input_file(name): f.read_at(n, at), size)
+                for k in wanted:
+                    if (value := tables[name].get(k)) is not None:
+                        found[k] = value
+                wanted -= found.keys()
+            hits = [(k, found[k]) for k in b.column(0).to_pylist() if k in found]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hits], pa.binary()), pa.array([v for _, v in hits], pa.binary())], ["key", "value"])
+
+    return probes.select(F.col(key).cast("binary").alias("key")).mapInArrow(run, "key binary, value binary")

@@ -1,8 +1,11 @@
 """Beyond the base: replaying a stream of log records.
 
 State is kept by transaction: its changes wait until COMMIT lets them out or ABORT drops them. What comes out are
-committed changes in upsert form; ``fold`` keeps the newest of each key. With ``ttl_ms``, a transaction that
-stays silent so long is given up, which bounds the state; Spark then runs a batch at every trigger, even without data.
+committed changes in upsert form; ``fold`` keeps the newest of each key. A transaction's first end decides, as in plans.lsm.
+
+State is what open transactions have logged: it goes with their end. With ``ttl_ms``, an open transaction that
+stays silent so long is given up too, and an end is remembered so long, for records that come in later batches than their transaction's end;
+Spark then runs a batch at every trigger, even without data.
 """
 
 from __future__ import annotations
@@ -42,6 +45,10 @@ def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
             seqs, types, keys, vals, ended = [], [], [], [], True
         elif r.type == ABORT:
             seqs, types, keys, vals, ended = [], [], [], [], True
+    if ended and ttl_ms is None:
+        if state.exists:
+            state.remove()
+        return
     state.update((seqs, types, keys, vals, ended))
     if ttl_ms is not None:
         state.setTimeoutDuration(ttl_ms)
@@ -50,7 +57,8 @@ def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
 def committed_stream(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Changes (txn_id, commit_seq, seq, type, key, value) of a streaming log, as their transactions commit.
 
-    log: (seq, txn_id, type, key, value), in the order it was written, as a log's files are. Records of a transaction that arrive after its end are ignored.
+    log: (seq, txn_id, type, key, value), in the order it was written, as a log's files are. Records of a transaction after its end are ignored in the same
+    batch, and within ttl_ms in later ones; without ttl_ms, nothing may follow an end in a later batch.
     """
 
     def step(key, batches, state):  # noqa: ANN001, ANN202

@@ -42,13 +42,14 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_imports_without_the_corpus_operators(monkeypatch):
+@pytest.mark.parametrize("hidden", [("corpus_pipeline", "lodestrata.llm"), ("zstandard",), ("public_tokenizers",)])
+def test_entry_imports_without_the_corpus_operators(monkeypatch, hidden):
     class Hidden:
         def find_spec(self, name, path=None, target=None):
-            if name == "corpus_pipeline" or name.startswith("lodestrata.llm"):
+            if name.startswith(hidden):
                 raise ModuleNotFoundError(f"No module named {name!r}", name=name)
 
-    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("lodestrata.llm")]:
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("lodestrata.llm") or m.startswith(hidden)]:
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.delattr("lodestrata.llm", raising=False)
     monkeypatch.setattr(sys, "meta_path", [Hidden(), *sys.meta_path])
@@ -56,3 +57,4 @@ def test_entry_imports_without_the_corpus_operators(monkeypatch):
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
     assert set(module.queries()) == set(base.QUERIES)
+    assert set(module.oracle_sql()) == set(base.ORACLES)

@@ -1,6 +1,8 @@
 import json
 import os
 
+import pandas as pd
+
 from lodestrata.functions.codec import ABORT, BEGIN, COMMIT, DELETE, PUT
 from lodestrata.operators import wal
 from lodestrata.plans import lsm
@@ -76,3 +78,43 @@ def test_streaming_replay(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert pairs(streaming.fold(spark.table("changes"))) == {b"k": b"ten"}
+
+
+def test_the_first_end_decides_in_batch_and_stream(spark, tmp_path):
+    """Changes after an end, a second end of the other kind: both replays agree."""
+    rows = [(1, 1, PUT, b"a", b"1"), (2, 1, COMMIT, b"", b""), (3, 1, PUT, b"a", b"late"), (4, 1, ABORT, b"", b""), (5, 2, PUT, b"b", b"2"), (6, 2, ABORT, b"", b""), (7, 2, COMMIT, b"", b""), (8, 3, DELETE, b"c", b""), (9, 3, COMMIT, b"", b""), (10, 3, COMMIT, b"", b"")]
+    batch = spark.createDataFrame(rows, wal.ROW)
+    assert pairs(lsm.replay(batch)) == {b"a": b"1"}
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = streaming.committed_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    assert pairs(streaming.fold(changes)) == {b"a": b"1"}
+    key = lambda df: sorted((r["txn_id"], r["commit_seq"], r["seq"]) for r in df.collect())
+    assert key(changes) == key(lsm.committed_changes(batch)) == [(1, 2, 1), (3, 9, 8)]
+
+
+class State:
+    """As much of a group's state as a step uses."""
+
+    hasTimedOut = False
+
+    def __init__(self):
+        self.get, self.exists = None, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+
+def test_an_ended_transaction_leaves_no_state():
+    def step(state, *rows):
+        return list(streaming._step((1,), iter([pd.DataFrame(list(rows), columns=["seq", "txn_id", "type", "key", "value"])]), state, None))
+
+    state = State()
+    assert step(state, (1, 1, PUT, b"a", b"1")) == []
+    assert state.exists
+    assert len(step(state, (2, 1, COMMIT, b"", b""))) == 1
+    assert not state.exists

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.codec import PUT, Record
 from lodestrata.sources.files import FileManager
 from lodestrata.sources.log_files import LogSource
-from lodestrata.sources.sorted_table import SortedTableSource, load
+from lodestrata.sources.sorted_table import SortedTableSource, load, lookup
 
 
 def test_file_lifecycle(spark, tmp_path):
@@ -84,3 +84,40 @@ def test_log_files_batch_and_stream(spark, tmp_path):
     q = spark.readStream.format("wal_frames").load(str(path)).writeStream.format("memory").queryName("log_rows").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("log_rows").count() == 3
+
+
+def test_a_stream_takes_every_file_once_whatever_its_name(spark, tmp_path):
+    spark.dataSource.register(LogSource)
+    path, out = tmp_path / "log", str(tmp_path / "out")
+
+    def trigger():
+        rows = spark.readStream.format("wal_frames").load(str(path)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        rows.trigger(availableNow=True).start(out).awaitTermination(120)
+        return sorted(r["txn_id"] for r in spark.read.parquet(out).collect())
+
+    path.mkdir()
+    (path / "log-8000.wal").write_bytes(Record(8000, PUT, b"a", b"").frame())
+    assert trigger() == [8000]
+    (path / "log-1000.wal").write_bytes(Record(1000, PUT, b"a", b"").frame())
+    for i in range(10):
+        spark.createDataFrame([(i, PUT, b"a", b"1")], "txn_id long, type int, key binary, value binary").coalesce(1).write.format("wal_frames").mode("append").save(str(path))
+    assert trigger() == [*range(10), 1000, 8000]
+    assert trigger() == [*range(10), 1000, 8000]
+
+
+def test_log_files_end_at_their_size(spark, tmp_path):
+    spark.dataSource.register(LogSource)
+    rows = spark.range(100).selectExpr("id as txn_id", "1 as type", "cast(cast(id as string) as binary) as key", "cast('v' as binary) as value").coalesce(1)
+    rows.write.format("wal_frames").mode("append").option("file_bytes", 500).save(str(tmp_path))
+    assert len(list(tmp_path.glob("log-*.wal"))) > 3
+    # Names sort in the order of the rows.
+    got = spark.read.format("wal_frames").load(str(tmp_path)).orderBy("file", "offset").collect()
+    assert [r["txn_id"] for r in got] == list(range(100))
+
+
+def test_lookup_through_files(spark, tmp_path):
+    spark.dataSource.register(SortedTableSource)
+    df = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 6, "0").cast("binary").alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
+    df.repartitionByRange(3, "key").sortWithinPartitions("key").write.format("sorted_table").mode("append").option("block_bytes", 500).save(str(tmp_path / "t"))
+    probes = spark.createDataFrame([(b"000007",), (b"000007",), (b"nothing",), (None,), (b"",), (b"001999",)], "key binary")
+    assert sorted(bytes(r["value"]) for r in lookup(probes, str(tmp_path / "t")).collect()) == [b"1999", b"7", b"7"]
