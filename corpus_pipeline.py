@@ -94,7 +94,7 @@ STAGES = [
     ("mixing", mix_domains),
 ]
 
-#: Learnt classifiers and fitted rates are beyond SQL; tests/llm holds each stage against a brute-force version.
+#: Learnt classifiers and fitted rates are beyond SQL; tests/llm holds the operators against brute force, and the stages against planted cases.
 ORACLE_SQL = None
 
 
