@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.codec import HANDLE_BYTES, MAX_U32, CorruptData, Handle, fixed32, read_fixed, read_handle, read_varint32, varint32
 from lodestrata.functions.keys import shared_prefix_bytes
-from lodestrata.operators.ranks import cut_points, range_of, with_rank
+from lodestrata.operators.ranks import in_ranges, with_rank
 
 RESTART_INTERVAL = 16
 ENTRY_BYTES = 12
@@ -216,23 +216,19 @@ def size_estimates(layout: DataFrame, restart_interval: int = RESTART_INTERVAL)
 def order_violations(rows: DataFrame, seq: str = "seq", key: str = "key", group: str | None = None) -> DataFrame:
     """Rows whose key does not exceed the one before them, in the order of a unique seq (within a group, if one is named).
 
-    Without a group, rows are dealt by ranges of seq; the first of a range is held against the last of
-    the range before, so that no task sees all rows.
+    Rows are dealt by ranges of group and seq; the first of a range is held against the last of
+    the range before, so that no task sees all rows, nor all of a group.
     """
-    if group:
-        before = F.lag(key).over(Window.partitionBy(group).orderBy(seq))
-        return rows.withColumn("previous", before).filter(F.col(key) <= F.col("previous"))
-    points = cut_points(rows, seq, rows.count())
-    dealt = rows.withColumn("__range", range_of(F.col(seq), points))
-    lasts = {r["__range"]: r["last"] for r in dealt.groupBy("__range").agg(F.max_by(key, seq).alias("last")).collect()}
-    kind, carried, now = rows.schema[key].dataType, [], None
-    for i in range(len(points) + 1):
-        carried.append(F.lit(now).cast(kind))
-        now = lasts.get(i, now)
-    before = F.lag(key).over(Window.partitionBy("__range").orderBy(seq))
-    first = F.row_number().over(Window.partitionBy("__range").orderBy(seq)) == 1
-    previous = F.when(first, F.get(F.array(*carried), F.col("__range"))).otherwise(before)
-    return dealt.withColumn("previous", previous).drop("__range").filter(F.col(key) <= F.col("previous"))
+    placed = in_ranges(rows, *([group] if group else []), seq)
+    own = F.struct(F.col(key).alias("key"), (F.col(group) if group else F.lit(0)).alias("group"))
+    before = F.lag(own).over(Window.partitionBy("__range").orderBy("__place"))
+    # One row a range.
+    lasts = placed.groupBy("__range").agg(F.max_by(own, "__place").alias("__last"))
+    carried = lasts.select("__range", F.lag("__last").over(Window.orderBy("__range")).alias("__carried"))
+    held = placed.withColumn("__before", before).join(carried, "__range").withColumn("__before", F.coalesce("__before", "__carried"))
+    same = F.col("__before.group").eqNullSafe(F.col(group)) if group else F.lit(True)
+    held = held.withColumn("previous", F.when(same, F.col("__before.key")))
+    return held.filter(F.col(key) <= F.col("previous")).select(*rows.columns, "previous")
 
 
 def encode_blocks(numbered: DataFrame, restart_interval: int = RESTART_INTERVAL) -> DataFrame:
@@ -314,31 +310,24 @@ def route(probes: DataFrame, index: DataFrame, key: str = "key", divider: str =
     return probes.withColumn(target, floor(F.col(key).cast("binary")))
 
 
-def route_by_range(probes: DataFrame, index: DataFrame, key: str = "key", divider: str = "divider", target: str = "block_no", bins: int = 200) -> DataFrame:
-    """As route(), for an index of any size: dividers and probes meet in ranges of the key.
+def route_by_range(probes: DataFrame, index: DataFrame, key: str = "key", divider: str = "divider", target: str = "block_no", bins: int | None = None) -> DataFrame:
+    """As route(), for an index of any size: dividers and probes meet in ranges of the key, as many as their number asks for, or ``bins``.
 
-    Ranges are cut at a bounded sample of dividers. A range carries the last divider before it along as a
-    fallback, so that its rows need no other range.
+    A range takes the last divider before it along, so that its rows need no other range. Equal probes are in no
+    order, so that ranges also split them.
     """
-    first, goal = F.col(divider).cast("binary"), F.col(target).cast("long")
-    index = index.select(first.alias("__k"), goal.alias("__t"))
-    sample = sorted(bytes(r[0]) for r in index.select("__k", F.xxhash64("__k").alias("h")).orderBy("h").limit(10 * bins).collect())
-    cuts = sorted({sample[len(sample) * i // bins] for i in range(1, bins)}) if sample else []
-    spark = probes.sparkSession
-
-    marks = index.withColumn("__bin", range_of(F.col("__k"), cuts))
-    last = {r["__bin"]: (bytes(r["m"]["__k"]), r["m"]["__t"]) for r in marks.groupBy("__bin").agg(F.max(F.struct("__k", "__t")).alias("m")).collect()}
-    carried, now = [], None
-    for b in range(len(cuts) + 1):
-        carried.append((b, now[1] if now else None))
-        now = last.get(b, now)
-    fallback = spark.createDataFrame(carried, "__bin int, __before long")
-    names = probes.columns
-    asked = probes.select(F.struct(*names).alias("__row"), F.col(key).cast("binary").alias("__k"), F.lit(None).cast("long").alias("__t"), F.lit(1).alias("__tag")).withColumn("__bin", range_of(F.col("__k"), cuts))
-    row_type = asked.schema["__row"].dataType
-    both = marks.select(F.lit(None).cast(row_type).alias("__row"), "__k", "__t", F.lit(0).alias("__tag"), "__bin").unionByName(asked)
-    order = Window.partitionBy("__bin").orderBy("__k", "__tag").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__f", F.last("__t", ignorenulls=True).over(order)).filter("__tag = 1").join(F.broadcast(fallback), "__bin")
+    marks = index.select(F.col(divider).cast("binary").alias("__k"), F.col(target).cast("long").alias("__t")).filter("__k is not null")
+    asked = probes.select(F.struct(*probes.columns).alias("__row"), F.col(key).cast("binary").alias("__k"), F.lit(None).cast("long").alias("__t"), F.lit(1).alias("__tag"))
+    # The rows of one key: dividers by their targets, then probes by chance.
+    asked = asked.withColumn("__tie", (F.rand(17) * (1 << 62)).cast("long"))
+    marks = marks.select(F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), "__k", "__t", F.lit(0).alias("__tag"), F.col("__t").alias("__tie"))
+    placed = in_ranges(marks.unionByName(asked), "__k", "__tag", "__tie", parts=bins)
+    # One row a range.
+    lasts = placed.groupBy("__range").agg(F.max(F.when(F.col("__tag") == 0, F.struct("__place", "__t"))).alias("__last"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("__range", F.last("__last.__t", ignorenulls=True).over(before).alias("__before"))
+    upto = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("__f", F.last("__t", ignorenulls=True).over(upto)).filter("__tag = 1").join(carried, "__range")
     return found.select("__row.*", F.when(F.col("__k").isNotNull(), F.coalesce("__f", "__before")).alias(target))
 
 

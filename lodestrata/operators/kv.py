@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.ranks import cut_points, range_of
+from lodestrata.operators.ranks import in_ranges
 
 SCHEMA = "key binary, value binary"
 
@@ -105,8 +105,7 @@ class OrderedMap:
         before counts, so a key's operations are dealt by ranges of seq, and each range learns how the one before
         it ended: a hot key is spread over as many tasks as the batch has ranges.
         """
-        points = cut_points(batch, "seq", batch.count())
-        rows = batch.select("key", "seq", "op").withColumn("__range", range_of(F.col("seq"), points))
+        rows = in_ranges(batch.select("key", "seq", "op"), "seq")
         stays = F.col("op") != "erase"
         ends = rows.groupBy("key", "__range").agg(F.max_by(stays, F.col("seq")).alias("__end"))
         carried = F.lag("__end").over(Window.partitionBy("key").orderBy("__range"))

@@ -2,46 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that are sampled to the driver to find the cut points; the bound holds at any size.
-SAMPLE = 10_000
-ROWS_A_BUCKET = 250_000
+from lodestrata.sources.shared import written
 
+#: Rows of a range, about; a table has as many ranges as that makes, without an upper bound.
+ROWS_A_BUCKET = 250_000
+#: monotonically_increasing_id() counts a task's rows in so many low bits, above which it has the task's number.
+_ROW_BITS = 33
 
-def cut_points(df: DataFrame, key: str, n_rows: int) -> list:
-    n = min(1000, n_rows // ROWS_A_BUCKET)
-    if n < 1:
-        return []
-    share = min(1.0, SAMPLE / n_rows)
-    chosen = df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(2 * SAMPLE)
-    keys = sorted(r[0] for r in chosen.collect())
-    return sorted({keys[len(keys) * i // (n + 1)] for i in range(1, n + 1)}) if keys else []
 
+def in_ranges(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """df with __range and __place (both from 0): rows in the order of keys, dealt to ranges and numbered within each.
 
-def range_of(key: Column, points: list) -> Column:
-    """How many of the ascending points are at or before the key; null keys come first."""
-    out = F.when(key.isNull(), F.lit(0))
-    for i, p in enumerate(points):
-        out = out.when(key < F.lit(p), F.lit(i))
-    return out.otherwise(F.lit(len(points)))
+    One shuffle by ranges of the keys, a sort in each task, no window. The rows are written to the shared folder, so that
+    all uses of them see the same ranges. ``parts`` sets the number of ranges, which else follows from that of rows.
+    """
+    ranges = parts or 1 + df.count() // ROWS_A_BUCKET
+    ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    place = F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return written(ordered, "ranges").withColumns({"__range": F.shiftright("__id", _ROW_BITS), "__place": place}).drop("__id")
 
 
 def with_rank(df: DataFrame, key: str, rank: str = "rn") -> DataFrame:
     """df with each row's place (from 1) in the order of a unique key.
 
-    Rows are dealt by cut points of the key that a bounded sample gives, ranked within each range and
-    shifted by the rows of the ranges before: two passes, no window over the whole table.
+    A row's place in its range is shifted by the rows of the ranges before: sums over one row a range.
     """
-    n_rows = df.count()
-    points = cut_points(df, key, n_rows)
-    dealt = df.withColumn("__range", range_of(F.col(key), points))
-    counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
-    start, total = {}, 0
-    for i in range(len(points) + 1):
-        start[i] = total
-        total += counts.get(i, 0)
-    shift = F.get(F.array(*[F.lit(start[i]) for i in range(len(points) + 1)]), F.col("__range"))
-    inner = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return dealt.withColumn(rank, (inner + shift).cast("long")).drop("__range")
+    placed = in_ranges(df, key)
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
+    ranked = placed.join(starts, "__range").withColumn(rank, (F.col("__start") + F.col("__place") + 1).cast("long"))
+    return ranked.select(*df.columns, rank)

@@ -146,3 +146,35 @@ def test_saved_map_prunes(spark, tmp_path):
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
     with pytest.raises(Exception, match="exists"):
         m.save(path)
+
+
+def test_order_violations_of_a_group_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 30)
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "hot", "cold", None]), b"%03d" % rng.randrange(1000)) for i in range(500)]
+    want = []
+    for g in ("hot", "cold", None):
+        mine = [r for r in rows if r[1] == g]
+        want += [(*b, a[2]) for a, b in zip(mine, mine[1:], strict=False) if b[2] <= a[2]]
+    got = blocks.order_violations(spark.createDataFrame(rows, "seq long, grp string, key binary").repartition(4), group="grp")
+    assert got.columns == ["seq", "grp", "key", "previous"]
+    assert sorted((r["seq"], r["grp"], bytes(r["key"]), bytes(r["previous"])) for r in got.collect()) == sorted(want)
+
+
+def test_ranges_split_equal_probes(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_A_BUCKET", 100)
+    index = spark.createDataFrame([(b"a", 0), (b"h", 1), (b"h", 2), (b"z", 3)], "divider binary, block_no long")
+    probes = spark.createDataFrame([(b"hot", i) for i in range(2000)], "key binary, id long")
+    sizes = []
+    kept = ranks.in_ranges
+
+    def seen(*args, **options):
+        placed = kept(*args, **options)
+        sizes.extend(r["count"] for r in placed.groupBy("__range").count().collect())
+        return placed
+
+    monkeypatch.setattr(blocks, "in_ranges", seen)
+    got = blocks.route_by_range(probes, index).collect()
+    assert sorted(r["id"] for r in got) == list(range(2000))
+    assert {r["block_no"] for r in got} == {2}
+    assert len(sizes) > 10 and max(sizes) < 400
